@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions.logs import usable_rows
-from flowloom.operators import intervals, timestamps
+from flowloom.operators import drift, intervals, nested, timestamps
 from flowloom.session import load
 
 LOGS = ("synthetic_event_log", "sample_logs", "sample_agent_logs")
@@ -25,5 +25,28 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter("utc_us is not null").select("log_name", "row_id", "utc_us")
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found}
-SQL: dict[str, str] = {}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.changes(load(spark, sf_dir, "feed_records"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = nested.flatten(load(spark, sf_dir, "event_log"), "row_id", "event_id", "sub_activities").nodes
+    return nodes.select("row_id", "node_path", F.col("parent_id").alias("parent_event_id"), F.col("node_id").alias("event_id"), "depth")
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found}
+SQL: dict[str, str] = {
+    "p7_found": """
+with second as (
+  select row_id, event_id as parent, i as i, sub_activities[i] as n
+  from (select row_id, event_id, sub_activities, unnest(range(1, len(sub_activities) + 1)) as i from event_log)
+), seen as (select * from second where n is not null),
+third as (
+  select row_id, n.event_id as parent, i, j, n.sub_activities[j] as m
+  from (select row_id, n, i, unnest(range(1, len(n.sub_activities) + 1)) as j from seen)
+)
+select row_id, cast(i as varchar) as node_path, coalesce(parent, '') as parent_event_id, coalesce(n.event_id, '') as event_id, 2 as depth from seen
+union all
+select row_id, i || '.' || j, coalesce(parent, ''), coalesce(m.event_id, ''), 3 from third where m is not null
+""",
+}
