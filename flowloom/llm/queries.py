@@ -1,4 +1,17 @@
 """Queries of the operators for language-model training data."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowloom.llm import bpe
+from flowloom.session import load
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p8_ids": p8_ids}
+SQL: dict[str, str] = {}
