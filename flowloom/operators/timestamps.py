@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions import instants as I
+from flowloom.session import cut
 
 #: A share of the posterior that an interpretation needs, else the value stays unresolved.
 CONFIDENT = 0.9
+#: The fitted mixtures are broadcast up to this many (source, mask) rows, joined by shuffle beyond.
+MODEL_ROWS = 20_000
 
 
 def site_clocks(sites: DataFrame) -> DataFrame:
@@ -81,6 +84,9 @@ def normalise(df: DataFrame, sites: DataFrame, source: list[str], text: str = "t
     schema = "mask int, format string, posterior double, ambiguous boolean, " + ", ".join(f"{k} string" for k in keys)
     # every source's rows number at most the masks that occur, never its values
     model = counts.groupBy(*keys).applyInPandas(fit, schema).filter("(mask & (mask - 1)) != 0")
+    model = cut(model)
+    if model.count() <= MODEL_ROWS:
+        model = F.broadcast(model)
     model = model.withColumnsRenamed({"mask": "__mask", "format": "__f", "posterior": "__q", "ambiguous": "__a"})
     single = F.array(*[F.lit(f) for f in I.FORMATS])[F.log2(F.col("__mask").cast("double")).cast("int")]
     several = F.col("__mask").bitwiseAND(F.col("__mask") - 1) != 0
