@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import bpe
+from flowloom.llm import bpe, chunking, mixing
 from flowloom.session import load
 
 
@@ -13,5 +13,26 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_ids": p8_ids}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = mixing.token_lengths(load(spark, sf_dir, "documents"))
+    return mixing.totals(lengths, load(spark, sf_dir, "mix_targets")).filter("reachable < budget").select("source")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split(load(spark, sf_dir, "documents")).filter("piece_no = 1").select("doc_id")
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
 SQL: dict[str, str] = {}
