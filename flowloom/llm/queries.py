@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import bpe, canonical, chunking, mixing
+from flowloom.llm import bpe, canonical, chunking, components, mixing
 from flowloom.session import load
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.journeys(load(spark, sf_dir, "journey_events"), load(spark, sf_dir, "placeholder_keys"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.match(load(spark, sf_dir, "observed_fields"), load(spark, sf_dir, "dictionary_entries")).select("obs_id", "preferred_name")
 
@@ -38,5 +42,5 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
 SQL: dict[str, str] = {}
