@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import bpe, canonical, chunking, components, mixing
+from flowloom.functions.logs import usable_rows
+from flowloom.llm import bpe, canonical, chunking, components, mixing, sequences
 from flowloom.session import load
 
 
@@ -17,6 +18,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.match(load(spark, sf_dir, "observed_fields"), load(spark, sf_dir, "dictionary_entries")).select("obs_id", "preferred_name")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.frequent(usable_rows(load(spark, sf_dir, "synthetic_event_log"), load(spark, sf_dir, "log_sites")))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(load(spark, sf_dir, "documents"))
 
@@ -42,5 +47,5 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
 SQL: dict[str, str] = {}
