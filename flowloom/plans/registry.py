@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from flowloom.plans import training
+from flowloom.plans import process, training
 
 
 def modules() -> list[ModuleType]:
-    return [training]
+    return [process, training]
