@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from flowloom.plans import process, training
+from flowloom.plans import graphs, process, relations, training
 
 
 def modules() -> list[ModuleType]:
-    return [process, training]
+    return [process, graphs, relations, training]
