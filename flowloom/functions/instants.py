@@ -37,8 +37,13 @@ def once(c: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, c)
 
 
+#: Blanks in the sense of the reference rules, the no-break and the wide one included.
+BLANKS = " \t\n\r\f\v\u00a0\u3000"
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Text without outer blanks, in linear time however many there are."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def parts(text: Column) -> Column:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.functions.instants import trimmed
 from flowloom.operators.timestamps import with_instant
 
 
 def case_key(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    return F.lower(trimmed(c))
 
 
 def activity_key(c: Column) -> Column:
@@ -18,7 +19,7 @@ def activity_key(c: Column) -> Column:
 
 
 def type_key(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    return F.lower(trimmed(c))
 
 
 def usable_rows(log: DataFrame, sites: DataFrame, kind: str | None = None) -> DataFrame:
