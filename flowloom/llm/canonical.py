@@ -105,6 +105,7 @@ class Tree:
 
     def __init__(self, entries: list[tuple[str, bool, str]]) -> None:
         self.exact = {form: (0, short, name) for form, short, name in entries}
+        self.longest = max((len(e[0]) for e in entries), default=0)
         self.root: list | None = None
         for entry in sorted(entries, key=lambda e: hash_order(e[0])):
             if self.root is None:
@@ -122,6 +123,8 @@ class Tree:
         """The best (distance, shortened, name) within the allowed distance of each form, ties by that order."""
         if value in self.exact:
             return self.exact[value]
+        if len(value) > self.longest + reach:
+            return None
         best, open_ = None, [self.root] if self.root else []
         while open_:
             (form, short, name), below = open_.pop()

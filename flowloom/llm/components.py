@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.functions.instants import BLANKS
 from flowloom.session import cut
 
 #: Rate of the exponential head starts, and the most hops that a cluster grows in a round.
@@ -27,7 +28,7 @@ LOCAL_EDGES = 20_000
 
 def key_form(key: Column) -> Column:
     """A key's normal form: case, surrounding blanks and quotation marks ignored."""
-    return F.lower(F.regexp_replace(key, r"""^[\s'"]+|[\s'"]+$""", ""))
+    return F.lower(F.btrim(key, F.lit(BLANKS + "'\"")))
 
 
 def head_start(vertex: Column, seed: int) -> Column:
