@@ -64,16 +64,21 @@ def normalise(df: DataFrame, sites: DataFrame, source: list[str], text: str = "t
     """Adds ``format``, ``posterior``, ``ambiguous`` and ``utc_us`` to every row.
 
     Each value's possible interpretations form a mask, already restricted by what the reference says about its site.
-    Counts per (source, mask) are aggregated first, so that the mixture of each source is fitted on a handful of
-    rows whatever the table's size; only masks with two or more interpretations then look their posterior up. Values
+    Counts per (source, mask) of the notations that can compete are aggregated first, so that the mixture of each source
+    is fitted on a handful of rows whatever the table's size; only masks with two or more interpretations then look their posterior up. Values
     without a confident interpretation are marked ambiguous and have no utc_us, as have unusable texts (format null).
     An empty table gives an empty table. Source columns may be null: nulls form a source of their own.
     """
-    j = df.join(site_clocks(sites), F.col(site) == F.col("__site"), "left").withColumn("__p", I.once(I.parts(F.col(text))))
-    j = j.withColumn("__mask", I.once(I.candidate_mask(F.col("__p")).bitwiseAND(I.allowed_mask(F.col("__day_first")))))
     keys = [f"__s{i}" for i in range(len(source))]
-    j = j.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in zip(keys, source)})
-    counts = j.groupBy(*keys, F.col("__mask").alias("mask")).agg(F.count(F.lit(1)).alias("n"))
+    named = df.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in zip(keys, source)})
+
+    def masked(rows: DataFrame) -> DataFrame:
+        one = rows.join(site_clocks(sites), F.col(site) == F.col("__site"), "left").withColumn("__p", I.once(I.parts(F.col(text))))
+        return one.withColumn("__mask", I.once(I.candidate_mask(F.col("__p")).bitwiseAND(I.allowed_mask(F.col("__day_first")))))
+    # only day and month can be confused: a notation with one reading has the posterior 1 under any mixture and adds
+    # nothing to the weights of the two that compete, so the mixtures are fitted on the slashed values, all of them
+    slashed = masked(named.filter(F.col(text).rlike(r"^[\s\u00a0\u3000]*\d{1,2}/")))
+    counts = slashed.groupBy(*keys, F.col("__mask").alias("mask")).agg(F.count(F.lit(1)).alias("n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         out = em_posteriors(pdf.loc[pdf["mask"] > 0, ["mask", "n"]])
@@ -90,7 +95,7 @@ def normalise(df: DataFrame, sites: DataFrame, source: list[str], text: str = "t
     model = model.withColumnsRenamed({"mask": "__mask", "format": "__f", "posterior": "__q", "ambiguous": "__a"})
     single = F.array(*[F.lit(f) for f in I.FORMATS])[F.log2(F.col("__mask").cast("double")).cast("int")]
     several = F.col("__mask").bitwiseAND(F.col("__mask") - 1) != 0
-    j = j.join(model, [*keys, "__mask"], "left")
+    j = masked(named).join(model, [*keys, "__mask"], "left")
     j = j.withColumn("format", F.when(several, F.col("__f")).when(F.col("__mask") > 0, single))
     j = j.withColumn("posterior", F.when(several, F.col("__q")).when(F.col("__mask") > 0, F.lit(1.0)))
     j = j.withColumn("ambiguous", several & F.coalesce(F.col("__a"), F.lit(True)))
