@@ -24,7 +24,7 @@ def with_variant(log: DataFrame) -> DataFrame:
 def variants(log: DataFrame) -> DataFrame:
     """V1, A1, A2, A5: per variant its frequency, share in per cent, length and duration statistics.
 
-    Sequences are long, so the share's total is one small row joined on, not a window over all variants.
+    Events without a case form one case, null activities are left out of the key. Sequences are long, so the share's total is one small row joined on, not a window over all variants.
     """
     cases = with_variant(log).withColumn("d", F.col("end_us") - F.col("start_us"))
     out = cases.groupBy("variant").agg(
@@ -34,7 +34,7 @@ def variants(log: DataFrame) -> DataFrame:
         F.min("d").alias("min_us"),
         F.max("d").alias("max_us"),
     )
-    total = log.agg(F.count_distinct("case_id").alias("total"))
+    total = log.agg((F.count_distinct("case_id") + F.coalesce(F.max(F.col("case_id").isNull().cast("int")), F.lit(0))).alias("total"))
     return out.crossJoin(F.broadcast(total)).withColumn("pct", F.round(100 * F.col("frequency") / F.col("total"), 2)).drop("total")
 
 
