@@ -29,13 +29,35 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(load(spark, sf_dir, "feed_records"))
 
 
+def p3_sample_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.unified(load(spark, sf_dir, "feed_records"), "sample_logs").withColumn("extras", F.to_json("extras"))
+
+
+def p3_sample_agent_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.unified(load(spark, sf_dir, "feed_records"), "sample_agent_logs").withColumn("extras", F.to_json("extras"))
+
+
+def p7_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed table of one structural variant: nodes with children, none of them null."""
+    return nested.flatten(load(spark, sf_dir, "event_log"), "row_id", "event_id", "sub_activities").subtypes["branch"].fillna(0, ["own_event_level"])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = nested.flatten(load(spark, sf_dir, "event_log"), "row_id", "event_id", "sub_activities").nodes
     return nodes.select("row_id", "node_path", F.col("parent_id").alias("parent_event_id"), F.col("node_id").alias("event_id"), "depth")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_sample_logs": p3_sample_logs, "p3_sample_agent_logs": p3_sample_agent_logs, "p5_found": p5_found, "p7_found": p7_found, "p7_branches": p7_branches}
 SQL: dict[str, str] = {
+    "p7_branches": """
+with second as (
+  select row_id, event_id as parent, i, sub_activities[i] as n
+  from (select row_id, event_id, sub_activities, unnest(range(1, len(sub_activities) + 1)) as i from event_log)
+)
+select row_id, cast(i as varchar) as node_path, coalesce(parent, '') as parent_id, coalesce(n.event_id, '') as node_id, 2 as depth,
+  n.event_id as own_event_id, n.activity as own_activity, n."timestamp" as own_timestamp, coalesce(n.event_level, 0) as own_event_level, cast(len(n.sub_activities) as integer) as n_children
+from second where n is not null and len(n.sub_activities) > 0 and len(list_filter(n.sub_activities, lambda x: x is null)) = 0
+""",
     "p7_found": """
 with second as (
   select row_id, event_id as parent, i as i, sub_activities[i] as n
