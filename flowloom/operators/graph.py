@@ -6,11 +6,31 @@ relabelled and earlier ids go to an alias table. Edge tables have event_id and k
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.session import cut
 
+#: Pairs from which on a stitch ends inside one task; above, every round is distributed.
+LOCAL_PAIRS = 200_000
+
+
+def _united(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Union-find with path halving over a bounded number of pairs; the smaller name is always the root."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for u, v in zip(pairs["u"], pairs["v"]):
+        a, b = find(u), find(v)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return pd.DataFrame({"u": list(root), "v": [find(x) for x in root]})
+
 
 def sanitised(key: Column) -> Column:
     """Quotes and blanks around a key go, case is ignored."""
@@ -34,7 +54,8 @@ def stitch(edges: DataFrame, prior: DataFrame | None = None) -> DataFrame:
 
     Large-star and small-star rounds: every node takes the smallest neighbour it knows, first over its larger, then
     over its smaller neighbours, until nothing changes. ``prior`` (event_id, journey_id) links events of one earlier
-    journey (G4, G12). Rounds grow with the logarithm of a component's size; each is written to the checkpoint folder.
+    journey (G4, G12). Rounds grow with the logarithm of a component's size; each is written to the checkpoint folder. The last
+    LOCAL_PAIRS pairs are united in one task, whose memory that number bounds.
     """
     keyed = edges.select("event_id", F.concat(F.lit("k:"), "key").alias("key"))
     if prior is not None:
@@ -44,6 +65,9 @@ def stitch(edges: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     pairs = cut(keyed.join(hub, "key").select(F.col("event_id").alias("u"), "v").filter("u <> v").distinct())
     signature = None
     while True:
+        if pairs.count() <= LOCAL_PAIRS:
+            pairs = cut(pairs.groupBy(F.lit("all").alias("all")).applyInPandas(_united, "u string, v string"))
+            break
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -28,8 +28,10 @@ SHAPES = {
 }
 
 
+@pytest.mark.parametrize("local", [0, 200_000])
 @pytest.mark.parametrize("shape", SHAPES)
-def test_stitch(spark, shape):
+def test_stitch(spark, monkeypatch, shape, local):
+    monkeypatch.setattr(graph, "LOCAL_PAIRS", local)
     edges = spark.createDataFrame(SHAPES[shape], "event_id string, key string")
     assert rows(graph.stitch(edges)) == union_find(SHAPES[shape])
 
