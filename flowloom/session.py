@@ -26,9 +26,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared checkpoint folder and read it back.
 
-    The table outlives any executor. Unlike a checkpointed plan it carries neither the constraints nor the size
-    estimates of the plan behind it, which grow from round to round in iterative operators, and its true size lets
-    small tables be broadcast.
+    The table outlives any executor, starts from a fresh plan, and its true size lets small tables be broadcast.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
