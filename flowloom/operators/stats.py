@@ -186,3 +186,60 @@ def isolation_forest(df: DataFrame, key: str, columns: Sequence[str], trees: int
             yield pd.DataFrame({key: pdf[key], "score": 2 ** (-out / max(1, len(forest)) / max(1e-9, expected(size)))})
 
     return df.select(key, *columns).fillna(0, list(columns)).mapInPandas(score, f"{key} {df.schema[key].dataType.simpleString()}, score double")
+
+
+#: Distinct value pairs that a rank correlation by pairs, and groups that pairwise comparisons take on the driver.
+KENDALL_PAIRS, TUKEY_GROUPS = 200_000, 500
+
+
+def _swaps(y: np.ndarray, w: np.ndarray) -> float:
+    """Weighted number of discordant pairs of a sequence: earlier and strictly larger, by merging halves."""
+    if len(y) < 2:
+        return 0.0
+    m = len(y) // 2
+    total = _swaps(y[:m], w[:m]) + _swaps(y[m:], w[m:])
+    order = np.argsort(y[:m], kind="stable")
+    left, weights = y[:m][order], np.r_[0.0, np.cumsum(w[:m][order])]
+    return total + float((w[m:] * (weights[-1] - weights[np.searchsorted(left, y[m:], side="right")])).sum())
+
+
+def kendall(df: DataFrame, x: str, y: str) -> float | None:
+    """Kendall's tau-b from counts of distinct pairs; more than KENDALL_PAIRS of them are refused. Null if constant."""
+    counts = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("n")).limit(KENDALL_PAIRS + 1).toPandas()
+    if len(counts) > KENDALL_PAIRS:
+        raise ValueError(f"more than {KENDALL_PAIRS} distinct pairs")
+    counts = counts.sort_values([x, y])
+    n = counts["n"].to_numpy(float)
+    pairs = lambda v: float((v * (v - 1) / 2).sum())
+    every, tx, ty, txy = pairs(np.array([n.sum()])), pairs(counts.groupby(x)["n"].sum().to_numpy(float)), pairs(counts.groupby(y)["n"].sum().to_numpy(float)), pairs(n)
+    scale = math.sqrt((every - tx) * (every - ty))
+    return None if not scale else (every - tx - ty + txy - 2 * _swaps(counts[y].to_numpy(float), n)) / scale
+
+
+def studentised_range_survival(q: float, k: int, dof: float) -> float:
+    """P(range of k normal means over an independent deviation > q), by numeric integration."""
+    z = np.linspace(-8, 8, 801)
+    phi = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    below = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
+    s = np.linspace(max(1e-3, 1 - 8 / math.sqrt(2 * dof)), 1 + 8 / math.sqrt(2 * dof), 401)
+    density = np.exp(math.log(2) + dof / 2 * math.log(dof / 2) - math.lgamma(dof / 2) + (dof - 1) * np.log(s) - dof * s * s / 2)
+    inside = np.array([k * np.trapezoid(phi * np.clip(below - np.interp(z - q * v, z, below, left=0.0), 0, 1) ** (k - 1), z) for v in s])
+    return float(min(1.0, max(0.0, 1 - np.trapezoid(density * inside, s))))
+
+
+def tukey(df: DataFrame, group: str, value: str) -> DataFrame:
+    """O3: (a, b, difference, p) of every pair of groups by Tukey's honest significant difference (Tukey-Kramer).
+
+    Groups are summed in Spark; more than TUKEY_GROUPS of them are refused. Null groups and values are left out.
+    """
+    per = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")).limit(TUKEY_GROUPS + 1).toPandas().sort_values("g")
+    if len(per) > TUKEY_GROUPS:
+        raise ValueError(f"more than {TUKEY_GROUPS} groups")
+    dof, rows = int(per["n"].sum()) - len(per), []
+    error = float((per["n"] * per["v"]).sum()) / dof if dof > 0 else 0.0
+    for i, a in enumerate(per.itertuples(index=False)):
+        for b in list(per.itertuples(index=False))[i + 1 :]:
+            spread = math.sqrt(error / 2 * (1 / a.n + 1 / b.n))
+            p = studentised_range_survival(abs(a.m - b.m) / spread, len(per), dof) if spread else None
+            rows.append((str(a.g), str(b.g), float(b.m - a.m), p))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, difference double, p double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,3 +133,34 @@ def activity_index(log: DataFrame) -> DataFrame:
     """V16 reverse lookup: per activity the number of variants and of cases that have it."""
     cases = with_variant(log).select("case_id", "variant", F.explode(F.array_distinct("activities")).alias("activity"))
     return cases.groupBy("activity").agg(F.count_distinct("variant").alias("n_variants"), F.count(F.lit(1)).alias("n_cases"))
+
+
+def sub_variants(log: DataFrame) -> DataFrame:
+    """V6: (variant, sub_variant, frequency): how start and complete events interleave within a variant of completions.
+
+    log has lifecycle, 'start' or 'complete'; a case without a completion has the empty variant.
+    """
+    named = log.withColumn("activity", F.concat("activity", F.when(F.col("lifecycle") == "start", "+s").otherwise("+c")))
+    steps = F.col("activities")
+    done = F.transform(F.filter(steps, lambda a: a.endswith("+c")), lambda a: F.substring_index(a, "+", 1))
+    keyed = traces(named).select(F.array_join(done, SEP).alias("variant"), F.array_join(steps, SEP).alias("sub_variant"))
+    return keyed.groupBy("variant", "sub_variant").agg(F.count(F.lit(1)).alias("frequency"))
+
+
+def linear_extensions(key: str, limit: int) -> list[str]:
+    """The orders that a concurrency variant such as 'a->(b|c)' allows, sorted; more than ``limit`` are an error."""
+    out = [""]
+    for slot in key.split(SEP) if key else []:
+        names = slot.strip("()").split("|")
+        orders = sorted(set(permutations(names)))
+        if len(out) * len(orders) > limit:
+            raise ValueError(f"more than {limit} orders")
+        out = [f"{o}{SEP if o else ''}{SEP.join(p)}" for o in out for p in orders]
+    return out
+
+
+def with_custom(log: DataFrame, name: str, activities: list[str]) -> DataFrame:
+    """V8: the log with one more case, ``name``, of the given activities one microsecond apart."""
+    spark = log.sparkSession
+    own = spark.createDataFrame([(name, a, i, i) for i, a in enumerate(activities)], "case_id string, activity string, event_id bigint, us bigint")
+    return log.select("case_id", "activity", "event_id", "us").unionByName(own)
