@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.operators.variants import SEP
+from flowloom.operators.variants import SEP, numbered
 
 
 @dataclass(frozen=True)
@@ -384,14 +384,19 @@ def inductive_tree(edges: dict[tuple[str, str], int], starts: set[str], stops: s
 
 def cover_models(variants: Sequence[tuple[str, ...]]) -> list[list[int]]:
     """Greedily assign variants to sequence models: each goes to the first model that replays it perfectly, else
-    it founds a new one. Returns the variants' numbers by model."""
-    models: list[tuple[Net, list[int]]] = []
+    it founds a new one. Returns the variants' numbers by model.
+
+    A sequence model replays its own sequence and no other, so the founded models are looked up by sequence.
+    """
+    models: dict[tuple[str, ...], list[int]] = {}
     for i, v in enumerate(variants):
-        for net, members in models:
-            if align(net, v) == 0:
-                members.append(i)
-                break
-        else:
-            places = [frozenset({"initial"}), *(frozenset({f"q{j}"}) for j in range(1, len(v))), frozenset({"final"})]
-            models.append((Net(tuple((f"t{j}", a, places[j], places[j + 1]) for j, a in enumerate(v))), [i]))
-    return [m for _, m in models]
+        models.setdefault(tuple(v), []).append(i)
+    return list(models.values())
+
+
+def model_cover(vs: DataFrame) -> DataFrame:
+    """(model, variant): cover_models over all variants of vs (variant, frequency), the most frequent first.
+
+    Variants are distinct, so each founds the model of its place in that order.
+    """
+    return numbered(vs).select((F.col("n") - 1).alias("model"), "variant")

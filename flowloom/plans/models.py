@@ -81,9 +81,7 @@ def d9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("v11_model_cover")
 def v11(spark: SparkSession, d: str) -> DataFrame:
-    top = variants.top(variants.variants(log_day(spark, d)).select("variant", "frequency"), 20).collect()
-    cover = conformance.cover_models([tuple(r.variant.split("->")) for r in top])
-    return spark.createDataFrame([(i, top[j].variant) for i, members in enumerate(cover) for j in members], "model int, variant string")
+    return conformance.model_cover(variants.variants(log_day(spark, d)).select("variant", "frequency"))
 
 
 @query("r7_first_to_last", f"with {LOG} select case_id, max(us) filter (activity = 'purchase') - min(us) filter (activity = 'view') as elapsed_us from log group by 1 having max(us) filter (activity = 'purchase') - min(us) filter (activity = 'view') > {2 * H}")
