@@ -94,6 +94,16 @@ def lookup(journeys: DataFrame, event_ids: DataFrame) -> DataFrame:
     return journeys.join(j, "journey_id", "left_semi")
 
 
+def linked_events(journeys: DataFrame) -> DataFrame:
+    """(a, b): every event a with each other event b of its journeys; null ids link nothing.
+
+    Every pair is there in both directions, so the result grows with the square of a journey's size.
+    """
+    j = journeys.filter("event_id is not null and journey_id is not null").select("event_id", "journey_id").distinct()
+    a, b = j.withColumnRenamed("event_id", "a"), j.withColumnRenamed("event_id", "b")
+    return a.join(b, "journey_id").filter("a <> b").select("a", "b").distinct()
+
+
 def within_two_hops(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Events that share a key with a seed, or a key with such an event; approximate by design."""
     one = edges.join(edges.join(seeds.select("event_id"), "event_id", "left_semi").select("key").distinct(), "key", "left_semi").select("event_id").distinct()

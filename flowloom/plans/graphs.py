@@ -126,9 +126,7 @@ def g22(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g18_linked_events", "select distinct a.event_id as a, b.event_id as b from (select event_id, journey_id, app_name from journey_events where journey_id is not null) a join (select event_id, journey_id, app_name from journey_events where journey_id is not null) b using (journey_id) where a.event_id < b.event_id and a.app_name = 'web_portal' and b.app_name = 'core_ledger'")
 def g18(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "journey_events").filter("journey_id is not null").select("event_id", "journey_id", "app_name").distinct()
-    a, b = e.filter("app_name = 'web_portal'"), e.filter("app_name = 'core_ledger'")
-    return a.select("journey_id", F.col("event_id").alias("a")).join(b.select("journey_id", F.col("event_id").alias("b")), "journey_id").filter("a < b").select("a", "b").distinct()
+    return graph.linked_events(load(spark, d, "journey_events").select("event_id", "journey_id"))
 
 
 @query("g24_orphans", "select count(*) as n_events, count(*) filter (where correlation_keys is null or len(correlation_keys) = 0) as n_orphans, count(distinct journey_id) as n_journeys from journey_events")

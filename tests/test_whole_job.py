@@ -3,7 +3,8 @@
 from datetime import datetime, timedelta
 
 from flowloom.operators import conformance
-from flowloom.plans import models
+from flowloom.plans import graphs, models
+from tests.conftest import rows
 
 
 def events_of(spark, at, sequences):
@@ -28,3 +29,11 @@ def test_cover_finds_a_founded_model_by_its_sequence():
     assert conformance.cover_models(many) == [[i, i + 3000] for i in range(3000)]
     assert conformance.cover_models([("a", "b"), ("b", "a"), ("a", "b")]) == [[0, 2], [1]]
     assert conformance.cover_models([]) == []
+
+
+def test_g18_links_an_event_to_every_other_of_its_journey(spark, tmp_path):
+    journeys = {"j1": [("z", "web_portal"), ("a", "core_ledger"), ("m", "mobile_app")], "j2": [("p", "web_portal"), ("q", "web_portal")], "j3": [("x", "mail_room")], None: [("n", "web_portal"), ("o", "core_ledger")]}
+    data = [(e, app, j) for j, members in journeys.items() for e, app in members] + [("z", "web_portal", "j1"), (None, "core_ledger", "j1")]
+    spark.createDataFrame(data, "event_id string, app_name string, journey_id string").write.parquet(f"{tmp_path}/journey_events.parquet")
+    want = {(a, b) for j, members in journeys.items() if j for a, _ in members for b, _ in members if a != b}
+    assert rows(graphs.QUERIES["g18_linked_events"](spark, str(tmp_path))) == sorted(want, key=repr)
