@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.operators import graph
-from flowloom.session import load
+from flowloom.session import cut, load
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -119,9 +119,10 @@ def g19(spark: SparkSession, d: str) -> DataFrame:
 r(node, depth) as (select 1, 0 union select x.dst, r.depth + 1 from r join x on x.src = r.node where r.depth < 3)
 select node, min(depth) as depth from r group by node""")
 def g22(spark: SparkSession, d: str) -> DataFrame:
-    l = load(spark, d, "lineitem").filter("l_linenumber = 1 and l_quantity < 3")
-    edges = l.select((F.col("l_suppkey") % 50).alias("src"), (F.col("l_partkey") % 50).alias("dst")).distinct()
-    return graph.reachable(edges, spark.createDataFrame([(1,)], "node bigint"), 3)
+    """Suppliers and parts linked by the line items, either way, from supplier 1."""
+    l = load(spark, d, "lineitem").select(F.concat(F.lit("supplier:"), "l_suppkey").alias("s"), F.concat(F.lit("part:"), "l_partkey").alias("p")).dropna().distinct()
+    edges = cut(l.select(F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("p").alias("dst")), F.struct(F.col("p").alias("src"), F.col("s").alias("dst")))).alias("e")).select("e.*"))
+    return graph.reachable(edges, spark.createDataFrame([("supplier:1",)], "node string"), 3)
 
 
 @query("g18_linked_events", "select distinct a.event_id as a, b.event_id as b from (select event_id, journey_id, app_name from journey_events where journey_id is not null) a join (select event_id, journey_id, app_name from journey_events where journey_id is not null) b using (journey_id) where a.event_id < b.event_id and a.app_name = 'web_portal' and b.app_name = 'core_ledger'")

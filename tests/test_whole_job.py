@@ -37,3 +37,14 @@ def test_g18_links_an_event_to_every_other_of_its_journey(spark, tmp_path):
     spark.createDataFrame(data, "event_id string, app_name string, journey_id string").write.parquet(f"{tmp_path}/journey_events.parquet")
     want = {(a, b) for j, members in journeys.items() if j for a, _ in members for b, _ in members if a != b}
     assert rows(graphs.QUERIES["g18_linked_events"](spark, str(tmp_path))) == sorted(want, key=repr)
+
+
+def test_g22_reaches_over_all_line_items_by_real_ids(spark, tmp_path):
+    items = [(1, 60, 5, 40.0), (2, 60, 1, 2.0), (2, 1051, 2, 30.0), (51, 1051, 1, 1.0), (51, 7, 1, 1.0), (77, 9, 1, 2.0), (None, 60, 1, 1.0), (1, None, 1, 1.0)]
+    spark.createDataFrame(items, "l_suppkey bigint, l_partkey bigint, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = {e for s, p, *_ in items if s and p for e in ((f"supplier:{s}", f"part:{p}"), (f"part:{p}", f"supplier:{s}"))}
+    want, front = {"supplier:1": 0}, {"supplier:1"}
+    for i in range(1, 4):
+        front = {y for x, y in edges if x in front} - set(want)
+        want |= dict.fromkeys(front, i)
+    assert dict(rows(graphs.QUERIES["g22_reachable"](spark, str(tmp_path)))) == want and want["part:1051"] == 3 and "supplier:51" not in want
