@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.operators.graph import sanitised
+
 
 def insert_absent(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The target and those new rows whose key it lacks, each key once."""
@@ -31,11 +33,19 @@ def delete_keys(target: DataFrame, gone: DataFrame, keys: Sequence[str]) -> Data
     return target.join(gone.select(*keys), list(keys), "left_anti")
 
 
-def overlapping(a: DataFrame, b: DataFrame, key: str, values: str) -> DataFrame:
-    """Pairs of rows whose arrays share an element, through the elements, never by comparing all pairs."""
-    x = a.select(F.col(key).alias("a"), F.explode(F.array_distinct(values)).alias("v")).filter("v is not null")
-    y = b.select(F.col(key).alias("b"), F.explode(F.array_distinct(values)).alias("v")).filter("v is not null")
-    return x.join(y, "v").select("a", "b").distinct()
+def overlapping(a: DataFrame, b: DataFrame, key: str, values: str, placeholders: DataFrame | None = None) -> DataFrame:
+    """Pairs of rows whose arrays share an element, through the elements, never by comparing all pairs.
+
+    Elements that are one of ``placeholders`` (placeholder), case, quotes and blanks around them ignored, link nothing.
+    """
+
+    def elements(df: DataFrame, name: str) -> DataFrame:
+        x = df.select(F.col(key).alias(name), F.explode(F.array_distinct(values)).alias("v")).filter("v is not null")
+        if placeholders is None:
+            return x
+        return x.join(placeholders.select(sanitised(F.col("placeholder")).alias("void")), sanitised(F.col("v")) == F.col("void"), "left_anti")
+
+    return elements(a, "a").join(elements(b, "b"), "v").select("a", "b").distinct()
 
 
 def combined_groups(counts: DataFrame, group: str, value: str) -> DataFrame:

@@ -60,8 +60,8 @@ def k13(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j8_overlapping_keys", "with k as (select event_id, app_name, unnest(list_distinct(correlation_keys)) as v from journey_events) select distinct x.event_id as a, y.event_id as b from k x join k y using (v) where x.app_name = 'web_portal' and y.app_name = 'score_svc' and x.v is not null and length(x.v) > 9")
 def j8(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "journey_events").withColumn("correlation_keys", F.filter("correlation_keys", lambda k: F.length(k) > 9))
-    return relational.overlapping(e.filter("app_name = 'web_portal'"), e.filter("app_name = 'score_svc'"), "event_id", "correlation_keys")
+    e = load(spark, d, "journey_events")
+    return relational.overlapping(e.filter("app_name = 'web_portal'"), e.filter("app_name = 'score_svc'"), "event_id", "correlation_keys", load(spark, d, "placeholder_keys"))
 
 
 @query("j1_inner_join", "select o_orderpriority, count(*) as n, sum(l_quantity) as qty from orders join lineitem on o_orderkey = l_orderkey where l_discount > 0.05 group by 1")

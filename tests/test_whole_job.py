@@ -3,7 +3,7 @@
 from datetime import datetime, timedelta
 
 from flowloom.operators import conformance
-from flowloom.plans import graphs, models
+from flowloom.plans import graphs, models, relations
 from tests.conftest import rows
 
 
@@ -48,3 +48,11 @@ def test_g22_reaches_over_all_line_items_by_real_ids(spark, tmp_path):
         front = {y for x, y in edges if x in front} - set(want)
         want |= dict.fromkeys(front, i)
     assert dict(rows(graphs.QUERIES["g22_reachable"](spark, str(tmp_path)))) == want and want["part:1051"] == 3 and "supplier:51" not in want
+
+
+def test_j8_drops_placeholders_and_keeps_short_keys(spark, tmp_path):
+    events = [("w1", "web_portal", ["ord-1332", "N/A"]), ("w2", "web_portal", [" undefined ", "k", None]), ("w3", "web_portal", ["a-key-of-some-length", ""]), ("m1", "mobile_app", ["ord-1332"]), ("w4", "web_portal", None)]
+    events += [("s1", "score_svc", ["ord-1332", " undefined ", "N/A"]), ("s2", "score_svc", ["k", "", None, "a-key-of-some-length"])]
+    spark.createDataFrame(events, "event_id string, app_name string, correlation_keys array<string>").write.parquet(f"{tmp_path}/journey_events.parquet")
+    spark.createDataFrame([("",), ("n/a",), ("undefined",)], "placeholder string").write.parquet(f"{tmp_path}/placeholder_keys.parquet")
+    assert rows(relations.QUERIES["j8_overlapping_keys"](spark, str(tmp_path))) == [("w1", "s1"), ("w2", "s2"), ("w3", "s2")]
