@@ -109,6 +109,14 @@ def frequency_encoded(df: DataFrame, category: str) -> DataFrame:
     return df.join(shares, df[category].eqNullSafe(F.col("__c"))).drop("__c")
 
 
+def categories(df: DataFrame, category: str, most: int = 1000) -> list:
+    """The sorted distinct values of a column; more than ``most`` are an error, as each becomes a column."""
+    found = [r[0] for r in df.select(category).filter(F.col(category).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{category} has more than {most} values")
+    return sorted(found)
+
+
 def one_hot(df: DataFrame, key: str, category: str, values: Sequence[str]) -> DataFrame:
     """One 0/1 column for each given value but the first."""
     return df.select(key, *[(F.col(category) == v).cast("int").alias(f"is_{v}") for v in values[1:]])

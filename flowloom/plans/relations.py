@@ -239,7 +239,8 @@ def o11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("o12_one_hot", f"with {LOG} select event_id, cast(activity = 'view' as integer) as is_view, cast(activity = 'error' as integer) as is_error from log")
 def o12(spark: SparkSession, d: str) -> DataFrame:
-    return stats.one_hot(log_day(spark, d), "event_id", "activity", ["click", "view", "error"])
+    log = log_day(spark, d)
+    return stats.one_hot(log, "event_id", "activity", stats.categories(log, "activity"))
 
 
 @query("o13_frequency_encoding", f"with {LOG} select event_id, round(count(*) over (partition by activity) / (select count(*) from log), 6) as share from log")

@@ -2,7 +2,9 @@
 
 from datetime import datetime, timedelta
 
-from flowloom.operators import conformance
+import pytest
+
+from flowloom.operators import conformance, stats
 from flowloom.plans import graphs, models, relations
 from tests.conftest import rows
 
@@ -56,3 +58,12 @@ def test_j8_drops_placeholders_and_keeps_short_keys(spark, tmp_path):
     spark.createDataFrame(events, "event_id string, app_name string, correlation_keys array<string>").write.parquet(f"{tmp_path}/journey_events.parquet")
     spark.createDataFrame([("",), ("n/a",), ("undefined",)], "placeholder string").write.parquet(f"{tmp_path}/placeholder_keys.parquet")
     assert rows(relations.QUERIES["j8_overlapping_keys"](spark, str(tmp_path))) == [("w1", "s1"), ("w2", "s2"), ("w3", "s2")]
+
+
+def test_o12_has_a_column_for_every_category_but_the_first(spark, tmp_path):
+    at = events_of(spark, tmp_path, [["view", "click", "purchase"], ["signup", "error", "view"]])
+    got = relations.QUERIES["o12_one_hot"](spark, at)
+    assert got.columns == ["event_id", "is_error", "is_purchase", "is_signup", "is_view"]
+    assert sorted(rows(got)) == [(0, 0, 0, 0, 1), (1, 0, 0, 0, 0), (2, 0, 1, 0, 0), (100, 0, 0, 1, 0), (101, 1, 0, 0, 0), (102, 0, 0, 0, 1)]
+    with pytest.raises(ValueError):
+        stats.categories(spark.range(3), "id", most=2)
