@@ -186,8 +186,16 @@ def c9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k5_pnml", None)
 def k5(spark: SparkSession, d: str) -> DataFrame:
-    edges = [(r.src, r.dst) for r in dfg.without_reversed(dfg.partial_order_edges(log_day(spark, d))).collect()]
-    return spark.createDataFrame([(writers.pnml(conformance.net_from_edges(edges or [("view", "click")])), writers.bpmn(edges or [("view", "click")]))], "pnml string, bpmn string")
+    """The log's alpha net as PNML and its directly-follows graph as BPMN; without events both are empty."""
+    log = log_day(spark, d)
+    g = dfg.graph(log)
+    relations = {(r.src, r.dst): r.relation for r in dfg.footprint(g).collect()}
+    pairs = conformance.alpha_pairs(relations, sorted({a for p in relations for a in p}))
+    ends = dfg.diagram(log).filter("activity is not null").collect()  # one row for each activity
+    starts, stops = {r.activity for r in ends if r.n_starts}, {r.activity for r in ends if r.n_ends}
+    net = conformance.alpha_net(pairs, sorted(r.activity for r in ends), starts, stops)
+    edges = [(r.src, r.dst) for r in g.select("src", "dst").collect()]
+    return spark.createDataFrame([(writers.pnml(net), writers.bpmn(edges, starts, stops))], "pnml string, bpmn string")
 
 
 def _stream_of_events(spark: SparkSession, d: str) -> DataFrame:

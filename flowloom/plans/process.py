@@ -101,8 +101,7 @@ def v3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("v16_compare_variants", "select 'click' as only_a, 'signup' as only_b")
 def v16(spark: SparkSession, d: str) -> DataFrame:
-    two = spark.createDataFrame([("click->view",), ("view->signup",)], "variant string")
-    return variants.compare(two, "click->view", "view->signup")
+    return variants.compare(variants.variants(log_day(spark, d)).select("variant"), "click->view", "view->signup")
 
 
 @query("v16_activity_index", f"with {LOG}, {CASES}, x as (select distinct case_id, activity from log) select activity, count(distinct variant) as n_variants, count(*) as n_cases from x join cases using (case_id) group by activity")

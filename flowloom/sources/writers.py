@@ -77,10 +77,15 @@ def pnml(net: Net) -> str:
     return "\n".join([*out, "</page></net></pnml>"])
 
 
-def bpmn(edges: list[tuple[str, str]]) -> str:
-    """A directly-follows model as BPMN text: tasks, a start and an end event, sequence flows."""
-    nodes = sorted({n for e in edges for n in e})
-    flows = sorted(set(edges)) + [("start", n) for n in nodes if not any(b == n for _, b in edges)] + [(n, "end") for n in nodes if not any(a == n for a, _ in edges)]
+def bpmn(edges: list[tuple[str, str]], starts: set[str] | None = None, stops: set[str] | None = None) -> str:
+    """A directly-follows model as BPMN text: tasks, a start and an end event, sequence flows.
+
+    Without ``starts`` and ``stops`` the model starts at its sources and ends at its sinks.
+    """
+    nodes = sorted({n for e in edges for n in e} | (starts or set()) | (stops or set()))
+    first = {n for n in nodes if not any(b == n for _, b in edges)} if starts is None else starts
+    last = {n for n in nodes if not any(a == n for a, _ in edges)} if stops is None else stops
+    flows = sorted(set(edges)) + [("start", n) for n in sorted(first)] + [(n, "end") for n in sorted(last)]
     out = ['<bpmn:definitions xmlns:bpmn="http://www.omg.org/spec/BPMN/20100524/MODEL"><bpmn:process id="process">', '<bpmn:startEvent id="start"></bpmn:startEvent>', '<bpmn:endEvent id="end"></bpmn:endEvent>']
     out += [f"<bpmn:task id={quoteattr(n)} name={quoteattr(n)}></bpmn:task>" for n in nodes]
     out += [f"<bpmn:sequenceFlow id={quoteattr(f'f{i}')} sourceRef={quoteattr(a)} targetRef={quoteattr(b)}></bpmn:sequenceFlow>" for i, (a, b) in enumerate(flows)]

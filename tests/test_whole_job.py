@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from flowloom.operators import conformance, stats
-from flowloom.plans import graphs, models, relations
+from flowloom.plans import graphs, models, process, relations
 from tests.conftest import rows
 
 
@@ -67,3 +67,25 @@ def test_o12_has_a_column_for_every_category_but_the_first(spark, tmp_path):
     assert sorted(rows(got)) == [(0, 0, 0, 0, 1), (1, 0, 0, 0, 0), (2, 0, 1, 0, 0), (100, 0, 0, 1, 0), (101, 1, 0, 0, 0), (102, 0, 0, 0, 1)]
     with pytest.raises(ValueError):
         stats.categories(spark.range(3), "id", most=2)
+
+
+def test_k5_exports_the_model_of_the_log(spark, tmp_path):
+    at = events_of(spark, tmp_path / "some", [["view", "error", "signup"], ["view", "signup"], ["view", "error", "signup"]])
+    got = models.QUERIES["k5_pnml"](spark, at).first()
+    assert all(f'<transition id="{a}">' in got.pnml for a in ("view", "error", "signup")) and "click" not in got.pnml + got.bpmn
+    flows = [("view", "error"), ("error", "signup"), ("view", "signup"), ("start", "view"), ("signup", "end")]
+    assert got.bpmn.count("sequenceFlow id") == 5 and all(f'sourceRef="{a}" targetRef="{b}"' in got.bpmn for a, b in flows)
+    none = models.QUERIES["k5_pnml"](spark, events_of(spark, tmp_path / "none", [])).first()
+    assert "<transition" not in none.pnml and "<bpmn:task" not in none.bpmn
+
+
+def test_k5_keeps_activities_that_follow_each_other_both_ways(spark, tmp_path):
+    got = models.QUERIES["k5_pnml"](spark, events_of(spark, tmp_path, [["a", "b"], ["b", "a"]])).first()
+    assert all(f'<transition id="{x}">' in got.pnml and f'<bpmn:task id="{x}"' in got.bpmn for x in "ab")
+    assert 'sourceRef="a" targetRef="b"' in got.bpmn and 'sourceRef="b" targetRef="a"' in got.bpmn
+
+
+def test_v16_compares_variants_of_the_log(spark, tmp_path):
+    v16 = process.QUERIES["v16_compare_variants"]
+    assert rows(v16(spark, events_of(spark, tmp_path / "both", [["click", "view"], ["view", "signup"], ["click", "view"]]))) == [("click", "signup")]
+    assert rows(v16(spark, events_of(spark, tmp_path / "one", [["click", "view"]]))) == []
