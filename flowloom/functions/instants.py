@@ -6,7 +6,7 @@ whole-stage code generation. Nothing depends on the session's time zone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MARK = "\u0001"
@@ -46,12 +46,17 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def parts(text: Column) -> Column:
-    """array<string> of the pattern's groups (index = group number), or one element for text of digits alone, or null."""
-    t = trimmed(text)
-    return F.when(t.rlike(r"^\d{1,15}$"), F.array(t)).otherwise(
-        F.when(t.rlike(PATTERN), F.split(F.regexp_replace(t, PATTERN, _REPLACEMENT), _MARK, -1))
-    )
+def _taken_apart(df: DataFrame, text: str) -> DataFrame:
+    """Adds __t, the trimmed text, and __p, the pattern's groups, one element for digits alone, or null.
+
+    The pattern runs once a row: a text that it does not match comes back as it was.
+    """
+    t, r = F.col("__t"), F.col("__r")
+    df = df.withColumn("__t", once(trimmed(F.col(text))))
+    df = df.withColumn("__r", once(F.when(t.rlike(r"^\d{1,15}$"), t).otherwise(F.regexp_replace(t, PATTERN, _REPLACEMENT))))
+    matched = r.startswith(_MARK) & ~t.startswith(_MARK)
+    digits = F.ascii(t).between(48, 57) & ~r.startswith(_MARK) & t.rlike(r"^\d{1,15}$")
+    return df.withColumn("__p", once(F.when(matched, F.split(r, _MARK, -1)).when(digits, F.array(t)))).drop("__r")
 
 
 def _int(text: Column) -> Column:
@@ -77,41 +82,47 @@ def _time_us(p: Column) -> Column:
     return F.when((hour <= 23) & (mi <= 59) & (s <= 59), (hour.cast("long") * 3600 + mi * 60 + s) * 1_000_000 + fraction)
 
 
-def _is_slash(p: Column) -> Column:
-    return p[_SLASH_A] != ""
+#: Digits alone are a year before 10000, as seconds and as milliseconds; up to this many digits count seconds.
+_LAST_SECOND, SECOND_DIGITS = 253_402_300_799, 11
 
 
-def _date_days(p: Column, day_first: Column) -> Column:
-    """Days of the date; of a slashed one under the order given, null where that is null."""
-    slash = _is_slash(p)
-    day = F.when(slash, F.when(day_first, p[_SLASH_A]).when(~day_first, p[_SLASH_B])).otherwise(p[_DAY])
-    month = F.when(slash, F.when(day_first, p[_SLASH_B]).otherwise(p[_SLASH_A])).when(p[_NAME] != "", _month_number(p[_NAME]).cast("string")).otherwise(p[_MONTH])
-    return F.when(day.isNotNull() & month.isNotNull(), _days(p[_YEAR], month, day))
+def with_readings(df: DataFrame, text: str) -> DataFrame:
+    """Adds what a text can mean: __mask, __a, __b, __zone, __region and __digits.
 
-
-def candidate_mask(p: Column) -> Column:
-    """Bits of all interpretations that give a possible date and time; 0 where there is none."""
-    kind = (
-        F.when(_is_slash(p), BIT["slash_dmy"])
+    __mask has the bits of all FORMATS that give a possible date and time, 0 if none. __a are the wall-clock
+    microseconds of the day-first or only reading, for digits alone the instant if they are seconds; __b those of the
+    month-first reading, or the instant if they are milliseconds. __digits is the number of digits of text of digits
+    alone, else 0. Columns whose names start with two underscores are reserved.
+    """
+    df = _taken_apart(df, text)
+    p, t, n = F.col("__p"), F.col("__t"), F.col("__p")[0].try_cast("long")
+    alone, slash = F.size(p) == 1, p[_SLASH_A] != ""
+    month = F.when(p[_NAME] != "", _month_number(p[_NAME]).cast("string")).otherwise(p[_MONTH])
+    a_days = F.when(slash, _days(p[_YEAR], p[_SLASH_B], p[_SLASH_A])).when(month.isNotNull(), _days(p[_YEAR], month, p[_DAY]))
+    b_days = F.when(slash, _days(p[_YEAR], p[_SLASH_A], p[_SLASH_B]))
+    df = df.withColumn("__time", once(F.when(F.size(p) > 1, _time_us(p))))
+    df = df.withColumn("__a", once(F.when(alone, F.when(n <= _LAST_SECOND, n * 1_000_000)).when(F.size(p) > 1, a_days.cast("long") * _DAY_US + F.col("__time"))))
+    df = df.withColumn("__b", once(F.when(alone, F.when(n <= _LAST_SECOND * 1000 + 999, n * 1000)).when(F.size(p) > 1, b_days.cast("long") * _DAY_US + F.col("__time"))))
+    first = (
+        F.when(alone, BIT["epoch_s"])
+        .when(slash, BIT["slash_dmy"])
         .when(p[_ISO] != "", BIT["iso"])
         .when(p[_DOT] != "", BIT["dot_dmy"])
         .when(p[_NAMED] != "", BIT["named"])
         .otherwise(BIT["basic"])
     )
-    first = F.when(_date_days(p, F.lit(True)).isNotNull(), kind).otherwise(0)
-    month_first = F.when(_is_slash(p), F.when(_days(p[_YEAR], p[_SLASH_A], p[_SLASH_B]).isNotNull(), BIT["slash_mdy"]).otherwise(0)).otherwise(0)
-    return (
-        F.when(p.isNull(), 0)
-        .when(F.size(p) == 1, F.when(F.length(p[0]) <= 11, BIT["epoch_s"]).otherwise(BIT["epoch_ms"]))
-        .when(_time_us(p).isNotNull(), first.bitwiseOR(month_first))
-        .otherwise(0)
-    )
+    second = F.when(alone, BIT["epoch_ms"]).otherwise(BIT["slash_mdy"])
+    mask = F.when(F.col("__a").isNotNull(), first).otherwise(0).bitwiseOR(F.when(F.col("__b").isNotNull(), second).otherwise(0))
+    several = F.size(p) > 1
+    df = df.withColumns({"__mask": once(mask), "__zone": F.when(several, F.upper(p[_ZONE])), "__region": F.when(several, p[_REGION]), "__digits": F.when(alone, F.length(t)).otherwise(0)})
+    return df.drop("__t", "__p", "__time")
 
 
-def allowed_mask(day_first: Column) -> Column:
-    """Interpretations that a site's reference row leaves open; an unknown order leaves both."""
-    every = sum(BIT.values())
-    return F.when(day_first, F.lit(every - BIT["slash_mdy"])).when(~day_first, F.lit(every - BIT["slash_dmy"])).otherwise(F.lit(every))
+def by_reference(day_first: Column) -> Column:
+    """The one local reading of __a and __b under the reference rules: the site's order, seconds up to SECOND_DIGITS."""
+    a, b = F.col("__a"), F.col("__b")
+    slashed = F.col("__mask").bitwiseAND(BIT["slash_dmy"] + BIT["slash_mdy"]) != 0
+    return F.when(F.col("__digits") > 0, F.when(F.col("__digits") <= SECOND_DIGITS, a).otherwise(b)).when(slashed, F.when(day_first, a).when(~day_first, b)).otherwise(a)
 
 
 def _as_utc(local: Column, tz: Column) -> Column:
@@ -122,23 +133,22 @@ def _from_utc(utc: Column, tz: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(utc), tz))
 
 
-def local_us(p: Column, day_first: Column) -> Column:
-    """Wall-clock microseconds of the text, or the instant itself for text of digits alone."""
-    n = p[0].cast("long")
-    epoch = F.when(F.length(p[0]) <= 11, n * 1_000_000).otherwise(n * 1000)
-    return F.when(F.size(p) == 1, epoch).when(F.size(p) > 1, _date_days(p, day_first).cast("long") * _DAY_US + _time_us(p))
+def _plain_utc(local: Column, tz: Column) -> Column:
+    """The earlier instant at which a zone's clock shows ``local``, null where it never does."""
+    at = _as_utc(local, tz)
+    return F.when(_from_utc(at, tz) == local, at)
 
 
-def utc_us(p: Column, local: Column, tz: Column) -> Column:
-    """UTC microseconds.
+def utc_us(local: Column, tz: Column) -> Column:
+    """UTC microseconds of one reading, beside the columns of with_readings.
 
-    ``p`` are the parts of the text, ``local`` what local_us gives, ``tz`` the IANA zone of the row's site or null.
-    An offset or Z in the text holds, with or without a region behind it; a region alone holds if it is the site's own.
-    A zone abbreviation means the site's zone in standard or summer time as its letters say (UTC and GMT need no
-    site). Without a zone the site's local time counts: twice-occurring times are the earlier instant, times that a
-    clock change skips give null, and so does a row without a site.
+    ``local`` are wall-clock microseconds, or the instant itself for digits alone; ``tz`` is the IANA zone of the row's
+    site or null. An offset or Z in the text holds, with or without a region behind it; a region alone holds if it is
+    the site's own. A zone abbreviation means the site's zone in standard or summer time as its letters say (UTC and
+    GMT need no site). Without a zone the site's local time counts: twice-occurring times are the earlier instant,
+    times that a clock change skips give null, and so does a row without a site.
     """
-    zone, region = F.upper(p[_ZONE]), p[_REGION]
+    zone, region = F.col("__zone"), F.col("__region")
     sign = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
     digits = F.regexp_replace(zone, "[^0-9]", "")
     offset_min = F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int")
@@ -147,13 +157,20 @@ def utc_us(p: Column, local: Column, tz: Column) -> Column:
     off_jan, off_jul = jan - _as_utc(jan, tz), jul - _as_utc(jul, tz)
     summer = zone.rlike("^([A-Z]+DT|[CEW]EST|BST)$")
     named = local - F.when(summer, F.greatest(off_jan, off_jul)).otherwise(F.least(off_jan, off_jul))
-    plain = _as_utc(local, tz)
-    plain = F.when(_from_utc(plain, tz) == local, plain)
     return (
-        F.when(F.size(p) == 1, local)
+        F.when(F.col("__digits") > 0, local)
         .when(zone.isin("Z", "UTC", "GMT", "UT"), local)
         .when(zone.rlike("^[+-]"), F.when(offset_min <= 18 * 60, local - sign * offset_min * F.lit(60_000_000).cast("long")))
         .when(zone != "", named)
         .when((region != "") & (region != F.coalesce(tz, F.lit(""))), F.lit(None).cast("long"))
-        .otherwise(plain)
+        .otherwise(_plain_utc(local, tz))
     )
+
+
+def clock_note(local: Column, tz: Column) -> Column:
+    """What is unclear about a reading without a zone: 'no zone', 'skipped', 'repeated' (the earlier was taken) or null."""
+    bare = (F.col("__digits") == 0) & (F.col("__zone") == "") & local.isNotNull()
+    at = _plain_utc(local, tz)
+    day_later = _as_utc(local, tz) + _DAY_US
+    other = local - (_from_utc(day_later, tz) - day_later)
+    return F.when(bare, F.when(tz.isNull(), "no zone").when(at.isNull(), "skipped").when((other != at) & (_from_utc(other, tz) == local), "repeated"))

@@ -9,18 +9,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytecode size beyond which HotSpot leaves a method uncompiled.
+_JIT_LIMIT = "8000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let stages whose generated method is too large for the JIT run operator by operator, where the code is split.
+
+    Spark's default accepts methods of 65,535 bytes, which then run interpreted, several times slower. A value that
+    somebody has set stays.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(name) == "65535":
+        spark.conf.set(name, _JIT_LIMIT)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in spark.checkpoint.dir; only where none is set, as in tests, make a local one."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder in spark.checkpoint.dir. Only a local master, as in tests, may do without: it gets one of its
+    own; on a cluster executors would write to different disks, so a missing folder is an error."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "flowloom-checkpoints"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "flowloom-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,8 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
     The table outlives any executor, starts from a fresh plan, and its true size lets small tables be broadcast.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -16,8 +16,7 @@ from flowloom.session import ensure_checkpoint_dir
 
 
 def _folder(spark: SparkSession) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_of(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:

@@ -100,3 +100,33 @@ def test_a_site_listed_twice_repeats_no_row(spark):
     data, sites = frames(spark)
     assert timestamps.with_instant(data, sites.unionAll(sites)).count() == data.count()
     assert rows(timestamps.with_instant(data.limit(0), sites)) == []
+
+
+def test_a_source_without_any_usable_value(spark):
+    """Every value of a source is impossible: the source has no mixture, and the others are not disturbed."""
+    sites = spark.createDataFrame(SITES, "site string, tz_name string, day_first boolean")
+    data = [("45/45/2024 10:00", "b")] * 3 + [("junk", "k"), ("01/05/2024 10:00", "u"), (None, "s")]
+    got = timestamps.normalise(spark.createDataFrame(data, "timestamp string, site string"), sites, ["site"]).collect()
+    assert [(r.timestamp, r.format, r.utc_us) for r in got if r.utc_us is not None] == [("01/05/2024 10:00", "slash_dmy", us("2024-05-01 10:00:00"))]
+    only = timestamps.normalise(spark.createDataFrame(data[:3], "timestamp string, site string"), sites, ["site"]).collect()
+    assert len(only) == 3 and all(r.format is None and not r.ambiguous for r in only)
+
+
+def test_posteriors_decide_every_notation(spark):
+    """Seconds or milliseconds by the source's years; an order against the reference is unusable; clocks are marked."""
+    sites = spark.createDataFrame(SITES, "site string, tz_name string, day_first boolean")
+    data = [("1714557600", None), ("13/04/2024 10:00", "n"), ("2024-11-03 01:30:00", "n"), ("2024-03-10 02:30:00", "n"), ("2024-05-01 10:00:00", None), ("2024-05-01 10:00:00", "n")]
+    out = {(r.timestamp, r.site): r for r in timestamps.normalise(spark.createDataFrame(data, "timestamp string, site string"), sites, ["site"]).collect()}
+    assert out[data[0]].format == "epoch_s" and out[data[0]].posterior > 0.9
+    assert out[data[1]].format is None and out[data[1]].utc_us is None
+    assert [out[k].clock for k in data[2:]] == ["repeated", "skipped", "no zone", None]
+
+
+def test_years_tell_readings_apart():
+    """Ten digits are milliseconds of 1970 or seconds of 2024; a source that writes old milliseconds keeps them."""
+    mask = timestamps.I.BIT["epoch_s"] + timestamps.I.BIT["epoch_ms"]
+    out = timestamps.em_posteriors(pd.DataFrame({"mask": [mask], "n": [9], "year_a": [2024], "year_b": [1970]}))
+    assert list(out["format"]) == ["epoch_s"]
+    ms = pd.DataFrame({"mask": [timestamps.I.BIT["epoch_ms"], mask], "n": [9000, 1], "year_a": [-1, 9000], "year_b": [1971, 1971]})
+    assert list(timestamps.em_posteriors(ms)["format"]) == ["epoch_ms", "epoch_ms"]
+    assert len(timestamps.em_posteriors(pd.DataFrame({"mask": [], "n": []}))) == 0
