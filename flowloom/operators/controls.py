@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.operators.logs import in_case, with_next
+from flowloom.operators.logs import count_before, with_next
 
 
 def _at(activity: str):
@@ -27,9 +27,7 @@ def forbidden_after(log: DataFrame, a: str, b: str) -> DataFrame:
 
 def too_few_before(log: DataFrame, a: str, n: int, b: str) -> DataFrame:
     """(case_id, n_before) of cases whose first b has fewer than n events a before it, in event order."""
-    w = in_case().rowsBetween(-(1 << 31), -1)
-    seen = log.withColumn("n_before", F.coalesce(F.sum(F.when(F.col("activity") == a, 1).otherwise(0)).over(w), F.lit(0)))
-    first = seen.filter(F.col("activity") == b).groupBy("case_id").agg(F.min("n_before").alias("n_before"))
+    first = count_before(log, a).filter(F.col("activity") == b).groupBy("case_id").agg(F.min("n_before").alias("n_before"))
     return first.filter(F.col("n_before") < n)
 
 

@@ -1,40 +1,23 @@
 """Journey stitching on DataFrames: components, incremental merges, lookups, bounded hops and validation.
 
-A journey's id is a pure function of its members (the smallest one), so a merge needs no winner: members are
-relabelled and earlier ids go to an alias table. Edge tables have event_id and key, both strings.
+A journey's id is a pure function of its members (the smallest one), so a merge needs no winner: earlier ids go to an
+alias table and members keep the id they were given. Edge tables have event_id and key, both strings.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.functions.instants import BLANKS
 from flowloom.session import cut
 
-#: Pairs from which on a stitch ends inside one task; above, every round is distributed.
-LOCAL_PAIRS = 200_000
-
-
-def _united(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Union-find with path halving over a bounded number of pairs; the smaller name is always the root."""
-    root: dict[str, str] = {}
-
-    def find(x: str) -> str:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root[up]
-        return x
-
-    for u, v in zip(pairs["u"], pairs["v"]):
-        a, b = find(u), find(v)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return pd.DataFrame({"u": list(root), "v": [find(x) for x in root]})
-
 
 def sanitised(key: Column) -> Column:
     """Quotes and blanks around a key go, case is ignored."""
-    return F.lower(F.regexp_replace(key, r"""^[\s'"]+|[\s'"]+$""", ""))
+    return F.lower(F.btrim(key, F.lit(BLANKS + "'\"")))
 
 
 def key_edges(events: DataFrame, keys: str = "correlation_keys") -> DataFrame:
@@ -49,37 +32,112 @@ def capped(edges: DataFrame, cap: int) -> DataFrame:
     return edges.join(few, "key", "left_semi")
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(u, root) for every end of the edges (a, b), all of which have a < b: ends with one root are connected.
+
+    Every vertex points to the vertex of least priority among itself and its neighbours, priorities being hashes that
+    change from round to round, and then to what that one points to; edges are carried over to the pointed-to vertices
+    until none is left. Each round leaves at most a fraction of the vertices, whatever the shape, and all of its steps
+    are aggregations with map-side combine and equi-joins.
+    """
+    left, levels = edges, []
+    while not left.isEmpty():
+        priority = lambda c: F.xxhash64(c, F.lit(len(levels)))
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("u")).agg(F.min(F.struct(priority(F.col("b")).alias("h"), F.col("b").alias("p"))).alias("m"))
+        own = F.struct(priority(F.col("u")).alias("h"), F.col("u").alias("p"))
+        points = near.select("u", F.least(own, F.col("m"))["p"].alias("p"))
+        far = points.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        level = cut(points.join(far, "p").select("u", F.col("q").alias("p")))
+        levels.append(level)
+        pa, pb = level.select(F.col("u").alias("a"), F.col("p").alias("pa")), level.select(F.col("u").alias("b"), F.col("p").alias("pb"))
+        moved = left.join(pa, "a").join(pb, "b").filter("pa <> pb")
+        left = cut(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+    if not levels:
+        return edges.select(F.col("a").alias("u"), F.col("b").alias("root"))
+    roots = levels[-1].select("u", F.col("p").alias("root"))
+    for level in reversed(levels[:-1]):
+        roots = level.join(roots.withColumnRenamed("u", "p"), "p", "left").select("u", F.coalesce("root", "p").alias("root"))
+    return roots
+
+
 def stitch(edges: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """(event_id, journey_id), journey_id the smallest event_id linked directly or indirectly.
 
-    Large-star and small-star rounds: every node takes the smallest neighbour it knows, first over its larger, then
-    over its smaller neighbours, until nothing changes. ``prior`` (event_id, journey_id) links events of one earlier
-    journey (G4, G12). Rounds grow with the logarithm of a component's size; each is written to the checkpoint folder. The last
-    LOCAL_PAIRS pairs are united in one task, whose memory that number bounds.
+    Every event is linked to the smallest event of each of its keys, so that no pairs within a key are formed, and the
+    links are contracted (see _contracted). A key that holds a third of all rows is one row of its aggregation, and its
+    rows are split by AQE where they meet that row again. ``prior`` (event_id, journey_id) links the events of an
+    earlier journey (G4). Null ids and keys link nothing; repeated rows change nothing; no edges give no rows.
     """
     keyed = edges.select("event_id", F.concat(F.lit("k:"), "key").alias("key"))
     if prior is not None:
         keyed = keyed.unionByName(prior.select("event_id", F.concat(F.lit("j:"), "journey_id").alias("key")))
-    hub = keyed.groupBy("key").agg(F.min("event_id").alias("v"))
-    nodes = keyed.select(F.col("event_id").alias("u")).distinct()
-    pairs = cut(keyed.join(hub, "key").select(F.col("event_id").alias("u"), "v").filter("u <> v").distinct())
-    signature = None
-    while True:
-        if pairs.count() <= LOCAL_PAIRS:
-            pairs = cut(pairs.groupBy(F.lit("all").alias("all")).applyInPandas(_united, "u string, v string"))
-            break
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.filter("u > v")
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        pairs = cut(small.filter("u <> v").distinct())
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if signature == now:
-            break
-        signature = now
-    return nodes.join(pairs.withColumnRenamed("v", "r"), "u", "left").select(F.col("u").alias("event_id"), F.coalesce("r", "u").alias("journey_id"))
+    keyed = keyed.filter("event_id is not null")
+    hub = keyed.filter("key is not null").groupBy("key").agg(F.min("event_id").alias("a"))
+    links = cut(keyed.join(hub, "key").select("a", F.col("event_id").alias("b")).filter("a <> b").distinct())
+    # all rows of an event have the event itself, those that are not the smallest of some key have a root as well
+    roots = cut(keyed.select(F.col("event_id").alias("u")).distinct().join(_contracted(links), "u", "left").select("u", F.coalesce("root", "u").alias("root")))
+    least = roots.groupBy("root").agg(F.min("u").alias("journey_id"))
+    return roots.join(least, "root").select(F.col("u").alias("event_id"), "journey_id")
+
+
+@dataclass(frozen=True)
+class Journeys:
+    """What is stitched so far. members: event_id, journey_id as first given; keys: key, journey_id as first given;
+    aliases: old_id, new_id, the id that now stands for an earlier one. All three only grow by what a batch touches."""
+
+    members: DataFrame
+    keys: DataFrame
+    aliases: DataFrame
+
+    def current(self) -> DataFrame:
+        """(event_id, journey_id) with today's ids."""
+        return _resolved(self.members, self.aliases)
+
+
+def _resolved(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    return rows.join(aliases, rows["journey_id"] == aliases["old_id"], "left").withColumn("journey_id", F.coalesce("new_id", "journey_id")).drop("old_id", "new_id")
+
+
+def no_journeys(spark: SparkSession) -> Journeys:
+    return Journeys(*(spark.createDataFrame([], f"{a} string, {b} string") for a, b in (("event_id", "journey_id"), ("key", "journey_id"), ("old_id", "new_id"))))
+
+
+def as_journeys(edges: DataFrame, journeys: DataFrame) -> Journeys:
+    """The state after a first stitch of ``edges``."""
+    keys = edges.join(journeys, "event_id").groupBy("key").agg(F.min("journey_id").alias("journey_id"))
+    return Journeys(journeys, keys, no_journeys(edges.sparkSession).aliases)
+
+
+def merge_batch(state: Journeys, edges: DataFrame) -> Journeys:
+    """What a batch of edges adds: new members, new keys, and the whole alias table afterwards.
+
+    Only the batch and the journeys that its keys and events touch are stitched: none gives a new journey, one attaches,
+    several merge into the smallest id (G13), which becomes the alias of the others. Members and keys of merged journeys
+    are not rewritten. The state is met by joins with the batch alone, which are broadcasts while the batch is small.
+    A redelivered batch adds nothing.
+    """
+    new = cut(edges.filter("event_id is not null and key is not null").select("event_id", "key").distinct())
+    by_key = new.join(state.keys, "key").select("event_id", "journey_id")
+    by_event = new.select("event_id").distinct().join(state.members, "event_id")
+    touched = cut(_resolved(by_key.unionByName(by_event), state.aliases).distinct())
+    found = cut(stitch(new, prior=touched))
+    named = touched.join(found.withColumnRenamed("journey_id", "root"), "event_id")
+    # a group takes the smallest id of the journeys that it touches, or that of its smallest event
+    target = named.groupBy("root").agg(F.min("journey_id").alias("least")).withColumn("target", F.least("root", "least"))
+    ids = found.select(F.col("journey_id").alias("root")).distinct().join(target, "root", "left").select("root", F.coalesce("target", "root").alias("target"))
+    placed = found.withColumnRenamed("journey_id", "root").join(ids, "root").select("event_id", F.col("target").alias("journey_id"))
+    merged = cut(named.join(ids, "root").filter("journey_id <> target").select(F.col("journey_id").alias("old_id"), F.col("target").alias("new_id")).distinct())
+    later = merged.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("__newer"))
+    aliases = state.aliases.join(later, "new_id", "left").select("old_id", F.coalesce("__newer", "new_id").alias("new_id")).unionByName(merged)
+    members = placed.join(state.members.select("event_id"), "event_id", "left_anti")
+    fresh = new.join(placed, "event_id").groupBy("key").agg(F.min("journey_id").alias("journey_id"))
+    return Journeys(members, fresh.join(state.keys.select("key"), "key", "left_anti"), aliases)
+
+
+def merged(state: Journeys, added: Journeys) -> Journeys:
+    """The state after a batch."""
+    return Journeys(state.members.unionByName(added.members), state.keys.unionByName(added.keys), added.aliases)
 
 
 def aliases(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A log has case_id, activity, event_id and us (microseconds); within a case events are ordered by (us, event_id).
 All functions take and return DataFrames, keep null cases out of grouping by letting Spark group nulls together, and
-give an empty result for an empty log.
+give an empty result for an empty log. What needs the order of a case's events treats a case of more than HOT_EVENTS
+in pieces of time, so that no task holds such a case, and carries over from piece to piece what the next one needs.
 """
 
 from __future__ import annotations
@@ -13,11 +14,35 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.session import cut, small
+
 ORDER = ("us", "event_id")
+#: Events from which on a case is treated in pieces of about as many.
+HOT_EVENTS = 20_000
+
 
+def in_pieces(log: DataFrame, key: str = "case_id") -> tuple[DataFrame, bool]:
+    """The log with ``__piece``, and whether any case is in pieces: 0 for ordinary cases, for hot ones the number of an
+    equal stretch of the case's time, there being one for each HOT_EVENTS events; events without a time come first.
+
+    Events of one instant of a case share a piece. Hot cases number at most a HOT_EVENTS-th of the events and are
+    broadcast if they are few.
+    """
+    counts = log.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("__from"), F.max("us").alias("to"))
+    hot = cut(counts.filter(F.col("n") > HOT_EVENTS).select("__key", "__from", F.expr(f"(to - __from) div (n div {HOT_EVENTS} + 1) + 1").alias("__width")))
+    if hot.isEmpty():
+        return log.withColumn("__piece", F.lit(0).cast("long")), False
+    placed = log.join(small(hot), F.col(key).eqNullSafe(F.col("__key")), "left")
+    piece = F.when(F.col("__width").isNull(), F.lit(0)).otherwise(F.coalesce(F.expr("(us - __from) div __width"), F.lit(-1)))
+    return placed.withColumn("__piece", piece).drop("__key", "__from", "__width"), True
 
-def in_case() -> object:
-    return Window.partitionBy("case_id").orderBy(*ORDER)
+
+def _carried(log: DataFrame, key: str, each: dict[str, Column], over: dict[str, Column]) -> DataFrame:
+    """``log`` in pieces, joined by what comes from the other pieces of its case: ``each`` sums up a piece, ``over``
+    are windows on those sums, of which there is one row for each piece."""
+    pieces = log.groupBy(key, "__piece").agg(*[c.alias(n) for n, c in each.items()])
+    sums = pieces.select(F.col(key).alias("__k"), F.col("__piece").alias("__i"), *[c.alias(n) for n, c in over.items()])
+    return log.join(sums, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__piece") == F.col("__i")), "left").drop("__k", "__i")
 
 
 def canonical(df: DataFrame, mapping: dict[str, str], required: Sequence[str] = ("case_id", "activity", "us")) -> DataFrame:
@@ -85,10 +110,24 @@ def cases_eventually(log: DataFrame, a: str, b: str) -> DataFrame:
     return log.join(pair.filter("x < y").select("case_id"), "case_id", "left_semi")
 
 
+def _beside(log: DataFrame, key: str, columns: Sequence[str], step: int) -> DataFrame:
+    """Adds ``__beside``: a struct of the columns of the next (step 1) or the previous (step -1) event, null at the end."""
+    order, own = F.struct(*ORDER), F.struct(*columns)
+    pieces, several = in_pieces(log, key)
+    w = Window.partitionBy(key, "__piece").orderBy(*ORDER)
+    side = F.lead(own).over(w) if step > 0 else F.lag(own).over(w)
+    if several:
+        edge = F.min_by(own, order) if step > 0 else F.max_by(own, order)
+        across = Window.partitionBy(key).orderBy("__piece")
+        pieces = _carried(pieces, key, {"__edge": edge}, {"__other": F.lead("__edge").over(across) if step > 0 else F.lag("__edge").over(across)})
+        side = F.coalesce(side, F.col("__other"))
+    return pieces.withColumn("__beside", side).drop("__other", "__piece")
+
+
 def with_next(log: DataFrame) -> DataFrame:
     """Every event with the activity and time of the next one in its case."""
-    w = in_case()
-    return log.withColumns({"next_activity": F.lead("activity").over(w), "next_us": F.lead("us").over(w)})
+    out = _beside(log, "case_id", ("activity", "us"), 1)
+    return out.withColumns({"next_activity": F.col("__beside.activity"), "next_us": F.col("__beside.us")}).drop("__beside")
 
 
 def cases_directly(log: DataFrame, a: str, b: str) -> DataFrame:
@@ -148,22 +187,59 @@ def duration_stats(log: DataFrame) -> DataFrame:
 
 def running_milestones(log: DataFrame, activity: str) -> DataFrame:
     """Per event the first and last time (-1 if none) and the count of one activity up to and including it."""
-    w = in_case().rowsBetween(Window.unboundedPreceding, 0)
     hit = F.when(F.col("activity") == activity, F.col("us"))
-    return log.select("case_id", "event_id", F.coalesce(F.min(hit).over(w), F.lit(-1)).alias("first_us"), F.coalesce(F.max(hit).over(w), F.lit(-1)).alias("last_us"), F.count(hit).over(w).alias("n_seen"))
+    pieces, several = in_pieces(log)
+    w = Window.partitionBy("case_id", "__piece").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    first, last, seen = F.min(hit).over(w), F.max(hit).over(w), F.count(hit).over(w)
+    if several:
+        before = Window.partitionBy("case_id").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+        sums = {"__f": F.min(hit), "__l": F.max(hit), "__n": F.count(hit)}
+        pieces = _carried(pieces, "case_id", sums, {"__first": F.min("__f").over(before), "__last": F.max("__l").over(before), "__seen": F.sum("__n").over(before)})
+        first, last, seen = F.least(first, "__first"), F.greatest(last, "__last"), seen + F.coalesce("__seen", F.lit(0))
+    return pieces.select("case_id", "event_id", F.coalesce(first, F.lit(-1)).alias("first_us"), F.coalesce(last, F.lit(-1)).alias("last_us"), seen.alias("n_seen"))
 
 
 def last_k(log: DataFrame, k: int) -> DataFrame:
-    """Per event the last k activities of its case, itself included, joined by '>'."""
-    w = in_case().rowsBetween(-k + 1, 0)
-    return log.select("case_id", "event_id", F.array_join(F.collect_list("activity").over(w), ">").alias("last_k"))
+    """Per event the last k activities of its case, itself included, joined by '>'; null activities are left out."""
+    pieces, several = in_pieces(log)
+    w = Window.partitionBy("case_id", "__piece").orderBy(*ORDER)
+    named = F.struct("activity")
+    own = F.collect_list(named).over(w.rowsBetween(-k + 1, 0))
+    if several:
+        tail = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(*ORDER, "activity")))), 1, k)
+        tail = F.transform(F.reverse(tail), lambda x: F.struct(x["activity"]))
+        # every piece has an event, so the k - 1 pieces before hold the k - 1 events before
+        earlier = Window.partitionBy("case_id").orderBy("__piece").rowsBetween(-k + 1, -1)
+        pieces = _carried(pieces, "case_id", {"__tail": tail}, {"__earlier": F.flatten(F.collect_list("__tail").over(earlier))})
+        every = F.concat(F.coalesce("__earlier", F.array().cast("array<struct<activity:string>>")), own)
+        own = F.when(F.size(own) < k, F.slice(every, F.greatest(F.lit(1), F.size(every) - k + 1), F.lit(k))).otherwise(own)
+    return pieces.select("case_id", "event_id", F.array_join(F.transform(own, lambda x: x["activity"]), ">").alias("last_k"))
+
+
+def count_before(log: DataFrame, activity: str) -> DataFrame:
+    """Adds ``n_before``: how often an activity comes before the event in its case, in event order."""
+    hit = F.when(F.col("activity") == activity, 1).otherwise(0)
+    pieces, several = in_pieces(log)
+    w = Window.partitionBy("case_id", "__piece").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    n = F.coalesce(F.sum(hit).over(w), F.lit(0))
+    if several:
+        before = Window.partitionBy("case_id").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+        pieces = _carried(pieces, "case_id", {"__n": F.sum(hit)}, {"__earlier": F.sum("__n").over(before)})
+        n = n + F.coalesce("__earlier", F.lit(0))
+    return pieces.withColumn("n_before", n).drop("__earlier", "__piece")
 
 
 def sessions(log: DataFrame, entity: str, gap_us: int) -> DataFrame:
     """Sessions of an entity: a new one starts after a gap of more than gap_us."""
-    w = Window.partitionBy(entity).orderBy(*ORDER)
-    fresh = F.when(F.col("us") - F.lag("us").over(w) <= gap_us, 0).otherwise(1)
-    return log.withColumn("fresh", fresh).withColumn("session_no", F.sum("fresh").over(w)).drop("fresh")
+    fresh = F.when(F.col("us") - F.col("__beside.us") <= gap_us, 0).otherwise(1)
+    marked = _beside(log, entity, ("us",), -1).withColumn("__fresh", fresh).drop("__beside")
+    pieces, several = in_pieces(marked, entity)
+    n = F.sum("__fresh").over(Window.partitionBy(entity, "__piece").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
+    if several:
+        before = Window.partitionBy(entity).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+        pieces = _carried(pieces, entity, {"__n": F.sum("__fresh")}, {"__earlier": F.sum("__n").over(before)})
+        n = n + F.coalesce("__earlier", F.lit(0))
+    return pieces.withColumn("session_no", n).drop("__fresh", "__earlier", "__piece")
 
 
 def hierarchy_counts(df: DataFrame, levels: Sequence[str]) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.functions import ranks
+
 
 def gamma_upper(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function: a series below a + 1, a continued fraction above."""
@@ -43,17 +46,22 @@ def chi2_survival(x: float, dof: int) -> float:
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """(value, n, rank) with the average rank of each distinct value.
-
-    Ranks come from counts of distinct values: first running totals inside ranges of the sorted values, then the
-    ranges' offsets, so that no task sees all rows.
-    """
+    """(value, n, rank) with the average rank of each distinct value, from counts of the distinct values."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
-    inside = parts.withColumn("below", F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    totals = parts.groupBy("part").agg(F.sum("n").alias("t"))
-    offset = totals.withColumn("offset", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
-    return inside.join(offset, "part").select("value", "n", (F.col("offset") + F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
+    return ranks.running(counts, ["value"], F.col("n")).select("value", "n", (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(groups, q0, q1, ..): interpolated quantiles, from running counts of distinct values: no task holds a group."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    below = ranks.running(counts, ["__v"], F.col("__n"), groups)
+    total = counts.groupBy(*[F.col(g).alias(f"__t{i}") for i, g in enumerate(groups)]).agg(F.sum("__n").alias("__total"))
+    on = [F.col(g).eqNullSafe(F.col(f"__t{i}")) for i, g in enumerate(groups)]
+    j = below.join(total, reduce(Column.__and__, on)) if on else below.crossJoin(F.broadcast(total))
+    at = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("__n")), F.col("__v")))
+    places = [F.lit(s) * (F.col("__total") - 1) for s in shares]
+    q = j.groupBy(*groups).agg(*[x for i, k in enumerate(places) for x in (at(F.floor(k)).alias(f"__lo{i}"), at(F.ceil(k)).alias(f"__hi{i}"), F.max(k - F.floor(k)).alias(f"__part{i}"))])
+    return q.select(*groups, *[(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__part{i}")).alias(f"q{i}") for i in range(len(shares))])
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -85,8 +93,8 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, groups: Sequence[str], value: str, k: float = 1.5) -> DataFrame:
     """Rows outside k interquartile ranges of their group, labelled Low or High."""
-    q = df.groupBy(*groups).agg(F.expr(f"percentile({value}, array(0.25, 0.75))").alias("q"))
-    bounds = q.select(*groups, (F.col("q")[0] - k * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])).alias("high"))
+    q = exact_quantiles(df, groups, value, (0.25, 0.75))
+    bounds = q.select(*groups, (F.col("q0") - k * (F.col("q1") - F.col("q0"))).alias("low"), (F.col("q1") + k * (F.col("q1") - F.col("q0"))).alias("high"))
     return df.join(bounds, list(groups)).withColumn("label", F.when(F.col(value) < F.col("low"), "Low").when(F.col(value) > F.col("high"), "High")).filter("label is not null").drop("low", "high")
 
 
@@ -98,7 +106,7 @@ def scaled(df: DataFrame, value: str) -> DataFrame:
 
 def label_encoded(df: DataFrame, category: str) -> DataFrame:
     """Category codes from 0 in sorted order, column code."""
-    codes = df.select(category).distinct().withColumn("code", F.row_number().over(Window.orderBy(category)) - 1)
+    codes = ranks.running(df.select(category).distinct(), [category]).withColumnRenamed("below", "code")
     return df.join(codes, category)
 
 

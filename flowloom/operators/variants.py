@@ -4,18 +4,32 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.operators.logs import ORDER
+from flowloom.functions import ranks
+from flowloom.operators.logs import ORDER, in_pieces
 
 SEP = "->"
 
 
 def traces(log: DataFrame) -> DataFrame:
-    """(case_id, activities, start_us, end_us), activities in event order."""
-    one = log.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "activity"))).alias("e"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
-    return one.select("case_id", F.col("e.activity").alias("activities"), "start_us", "end_us")
+    """(case_id, activities, start_us, end_us), activities in event order.
+
+    A hot case is ordered piece by piece and its pieces' activities are joined at the end: only they, not the events,
+    come together in the case's row.
+    """
+
+    def gathered(df: DataFrame, *keys: str) -> DataFrame:
+        one = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*ORDER, "activity"))).alias("e"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
+        return one.select(*keys, F.transform("e", lambda x: x["activity"]).alias("activities"), "start_us", "end_us")
+
+    pieces, several = in_pieces(log)
+    if not several:
+        return gathered(log, "case_id")
+    one = gathered(pieces, "case_id", "__piece").groupBy("case_id")
+    parts = F.array_sort(F.collect_list(F.struct("__piece", "activities")))
+    return one.agg(F.flatten(F.transform(parts, lambda x: x["activities"])).alias("activities"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
 
 
 def with_variant(log: DataFrame) -> DataFrame:
@@ -46,12 +60,9 @@ def top(vs: DataFrame, k: int) -> DataFrame:
 
 
 def numbered(vs: DataFrame) -> DataFrame:
-    """Variants numbered from 1 by falling frequency, ties by key, named Variant_n.
-
-    The rank needs a total order; it is taken over variants, which are far fewer than cases.
-    """
-    n = F.row_number().over(Window.orderBy(F.desc("frequency"), "variant"))
-    return vs.withColumn("n", n).withColumn("name", F.concat(F.lit("Variant_"), F.col("n").cast("string")))
+    """Variants numbered from 1 by falling frequency, ties by key, named Variant_n; ranked by ranges."""
+    out = ranks.running(vs, [F.desc("frequency"), F.asc("variant")]).withColumn("n", (F.col("below") + 1).cast("int")).drop("below")
+    return out.withColumn("name", F.concat(F.lit("Variant_"), F.col("n").cast("string")))
 
 
 def frequent_only(log: DataFrame, least: int) -> DataFrame:
@@ -102,12 +113,11 @@ def reduced(log: DataFrame) -> DataFrame:
 
 def collapsed(log: DataFrame) -> DataFrame:
     """Cases per sequence in which runs of one activity are one loop element, 'a+'."""
-    w = Window.partitionBy("case_id").orderBy(*ORDER)
-    fresh = F.when(F.lag("activity").over(w).eqNullSafe(F.col("activity")) & F.lag("us").over(w).isNotNull(), 0).otherwise(1)
-    runs = log.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w)).groupBy("case_id", "run").agg(F.first("activity").alias("a"), F.count(F.lit(1)).alias("n"))
-    name = F.concat("a", F.when(F.col("n") > 1, "+").otherwise(""))
-    seq = runs.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("run", name.alias("x")))).alias("e"))
-    return seq.groupBy(F.array_join(F.col("e.x"), SEP).alias("collapsed")).agg(F.count(F.lit(1)).alias("frequency"))
+    a = F.col("activities")
+    starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | ~F.get(a, i).eqNullSafe(F.get(a, i - 1)))
+    pairs = F.arrays_zip(F.col("starts"), F.array_append(F.slice("starts", 2, 1 << 30), F.size(a)).alias("stops"))
+    names = F.transform(pairs, lambda x: F.concat(F.get(a, x["starts"]), F.when(x["stops"] - x["starts"] > 1, "+").otherwise("")))
+    return traces(log).withColumn("starts", starts).groupBy(F.array_join(names, SEP).alias("collapsed")).agg(F.count(F.lit(1)).alias("frequency"))
 
 
 def concurrency(log: DataFrame, granularity_us: int) -> DataFrame:

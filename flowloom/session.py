@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Bytecode size beyond which HotSpot leaves a method uncompiled.
@@ -53,6 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` written and counted: marked for broadcast if it has at most ``rows`` rows, to be joined by shuffle if more."""
+    done = cut(df)
+    return F.broadcast(done) if done.count() <= rows else done
+
+
 def spread(df: DataFrame, at_least: int) -> int:
     """Shuffle partitions to use for ``df``'s session, never fewer than ``at_least``."""
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

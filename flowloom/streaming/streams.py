@@ -28,12 +28,33 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all there is now and give its result: the last complete table, or all appended rows."""
     spark, at = stream.sparkSession, _folder(stream.sparkSession)
 
-    def keep(df: DataFrame, _: int) -> None:
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
+    def keep(df: DataFrame, number: int) -> None:
+        # a batch that runs again replaces its own part
+        df.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    if not _exists(spark, f"{at}/out"):
+        return spark.createDataFrame([], stream.schema)
+    parts = _parts(spark, f"{at}/out", "batch=")
+    return spark.read.schema(stream.schema).parquet(*[f"{at}/out/batch={n}" for n in (parts[-1:] if mode == "complete" else parts)])
+
+
+def _path(spark: SparkSession, at: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _exists(spark: SparkSession, at: str) -> bool:
+    fs, path = _path(spark, at)
+    return fs.exists(path)
+
+
+def _parts(spark: SparkSession, at: str, prefix: str = "") -> list[int]:
+    """The numbers of the entries of a folder that are called prefix and number, in order."""
+    fs, path = _path(spark, at)
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
 
 
 def windowed_counts(stream: DataFrame, ts: str, width: str, late: str) -> DataFrame:
@@ -115,27 +136,40 @@ def first_to_last_monitor(stream: DataFrame, a: str, b: str, limit_us: int) -> D
     return stream.groupBy("case_id").applyInPandasWithState(step, "case_id string, status string, elapsed_us bigint", "first bigint, last bigint, seen bigint", "update", GroupStateTimeout.NoTimeout)
 
 
+def committed_journeys(spark: SparkSession, folder: str) -> graph.Journeys:
+    """The journeys up to the last committed batch of ``folder``; none before the first."""
+    done = _parts(spark, f"{folder}/commits")
+    empty = graph.no_journeys(spark)
+    if not done:
+        return empty
+    read = lambda name, like, numbers: spark.read.schema(like.schema).parquet(*[f"{folder}/{name}/{n}" for n in numbers])
+    return graph.Journeys(read("members", empty.members, done), read("keys", empty.keys, done), read("aliases", empty.aliases, done[-1:]))
+
+
 def stitch_stream(stream: DataFrame, folder: str) -> DataFrame:
-    """Journeys of a stream of (event_id, key), late bridges included.
+    """Journeys of a stream of (event_id, key), late bridges included: (event_id, journey_id).
 
-    One writer a batch: new edges and the edges of the journeys that they touch are stitched, and the result replaces
-    the table of journeys. A batch that is run again gives the same table, as versions are named by the batch.
+    ``folder`` holds the stream's offsets, the members and keys that each batch added, each batch's alias table and one
+    empty file for each committed batch, written last. A batch stitches itself and the journeys that it touches; a
+    batch that is run again replaces its own uncommitted files, or is skipped if it was committed. A restart with the
+    same folder goes on after the last commit and reads no earlier input again. Ids of one journey may change as late
+    bridges arrive; the alias table says what each earlier id stands for now.
     """
     spark = stream.sparkSession
-    at = f"{folder}/{uuid.uuid4().hex}"
-    newest = {"path": None}
 
     def merge(batch: DataFrame, number: int) -> None:
-        batch = batch.select("event_id", "key")
-        edges = spark.read.parquet(newest["path"]).select("event_id", "key").unionByName(batch) if newest["path"] else batch
-        edges = edges.distinct()
-        path = f"{at}/v{number}"
-        edges.join(graph.stitch(edges), "event_id").write.mode("overwrite").parquet(path)
-        newest["path"] = path
-
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        own = batch.sparkSession
+        if number in _parts(own, f"{folder}/commits"):
+            return
+        added = graph.merge_batch(committed_journeys(own, folder), batch)
+        for name, rows in (("members", added.members), ("keys", added.keys), ("aliases", added.aliases)):
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/{number}")
+        fs, path = _path(own, f"{folder}/commits/{number}")
+        fs.create(path, True).close()
+
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(newest["path"]).select("event_id", "journey_id").distinct()
+    return committed_journeys(spark, folder).current()
 
 
 def trie_rows(spark: SparkSession, t: dict) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 
 from flowloom.operators import graph, relational
+from flowloom.streaming import streams
 from tests.conftest import rows
 
 
@@ -28,10 +29,8 @@ SHAPES = {
 }
 
 
-@pytest.mark.parametrize("local", [0, 200_000])
 @pytest.mark.parametrize("shape", SHAPES)
-def test_stitch(spark, monkeypatch, shape, local):
-    monkeypatch.setattr(graph, "LOCAL_PAIRS", local)
+def test_stitch(spark, shape):
     edges = spark.createDataFrame(SHAPES[shape], "event_id string, key string")
     assert rows(graph.stitch(edges)) == union_find(SHAPES[shape])
 
@@ -46,6 +45,40 @@ def test_incremental_equals_full(spark):
     assert rows(graph.validate(both, graph.stitch(full))) == [(0, 0, 0, 0)]
 
 
+def test_null_ids_and_keys_link_nothing(spark):
+    edges = spark.createDataFrame([("a", None), ("b", None), (None, "k"), ("c", "k"), ("d", "k")], "event_id string, key string")
+    assert rows(graph.stitch(edges)) == [("a", "a"), ("b", "b"), ("c", "c"), ("d", "c")]
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_batches_equal_one_stitch(spark, shape):
+    """Three batches, the last one again: none, one and several journeys are touched; a redelivery adds nothing."""
+    data = SHAPES[shape]
+    state = graph.no_journeys(spark)
+    parts = [data[2::3], data[0::3], data[1::3]]
+    for part in (*parts, parts[-1]):
+        added = graph.merge_batch(state, spark.createDataFrame(part, "event_id string, key string"))
+        before = state.members.count()
+        state = graph.merged(state, added)
+    assert state.members.count() == before
+    assert rows(state.current()) == union_find(data)
+    assert state.members.select("event_id").distinct().count() == state.members.count()
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Two starts over one folder: the second reads only the new file, and a lost commit only repeats its own batch."""
+    schema, at, to = "event_id string, key string", str(tmp_path / "in"), str(tmp_path / "state")
+    data = SHAPES["chain"]
+    spark.createDataFrame(data[::2], schema).coalesce(1).write.mode("append").parquet(at)
+    assert rows(streams.stitch_stream(streams.stream_of(spark, at, schema), to)) == union_find(data[::2])
+    spark.createDataFrame(data[1::2], schema).coalesce(1).write.mode("append").parquet(at)
+    assert rows(streams.stitch_stream(streams.stream_of(spark, at, schema), to)) == union_find(data)
+    first = spark.read.parquet(f"{to}/members/0").count()
+    assert first == len({e for e, _ in data[::2]}) and spark.read.parquet(f"{to}/members/1").count() == len({e for e, _ in data}) - first
+    assert rows(streams.stitch_stream(streams.stream_of(spark, at, schema), to)) == union_find(data)
+    assert rows(streams.committed_journeys(spark, str(tmp_path / "none")).current()) == []
+
+
 def test_keys_hops_and_caps(spark):
     e = spark.createDataFrame([("a", [" 'K1' ", "k1", None, ""]), ("b", ["K1", "k2"]), ("c", ["k2", "k3"]), ("d", ["k3"]), ("z", None)], "event_id string, correlation_keys array<string>")
     edges = graph.key_edges(e)
