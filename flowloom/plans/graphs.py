@@ -117,8 +117,9 @@ def g19(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "journey_events").groupBy("app_name", "event_id").agg(F.min(us).alias("first_us"), F.max(us).alias("last_us"))
 
 
-@query("g22_reachable", """with recursive x as (select distinct l_suppkey % 50 as src, l_partkey % 50 as dst from lineitem where l_linenumber = 1 and l_quantity < 3),
-r(node, depth) as (select 1, 0 union select x.dst, r.depth + 1 from r join x on x.src = r.node where r.depth < 3)
+@query("g22_reachable", """with recursive x as (select 'supplier:' || l_suppkey as s, 'part:' || l_partkey as p from lineitem where l_suppkey is not null and l_partkey is not null group by 1, 2),
+e as (select s as src, p as dst from x union all select p, s from x),
+r(node, depth) as (select 'supplier:1', 0 union select e.dst, r.depth + 1 from r join e on e.src = r.node where r.depth < 3)
 select node, min(depth) as depth from r group by node""")
 def g22(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers and parts linked by the line items, either way, from supplier 1."""
@@ -127,7 +128,8 @@ def g22(spark: SparkSession, d: str) -> DataFrame:
     return graph.reachable(edges, spark.createDataFrame([("supplier:1",)], "node string"), 3)
 
 
-@query("g18_linked_events", "select distinct a.event_id as a, b.event_id as b from (select event_id, journey_id, app_name from journey_events where journey_id is not null) a join (select event_id, journey_id, app_name from journey_events where journey_id is not null) b using (journey_id) where a.event_id < b.event_id and a.app_name = 'web_portal' and b.app_name = 'core_ledger'")
+@query("g18_linked_events", """with j as (select distinct event_id, journey_id from journey_events where journey_id is not null and event_id is not null)
+select distinct a.event_id as a, b.event_id as b from j a join j b using (journey_id) where a.event_id <> b.event_id""")
 def g18(spark: SparkSession, d: str) -> DataFrame:
     return graph.linked_events(load(spark, d, "journey_events").select("event_id", "journey_id"))
 

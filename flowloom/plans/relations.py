@@ -58,7 +58,12 @@ def k13(spark: SparkSession, d: str) -> DataFrame:
     return relational.delete_keys(t, n.filter("amount > 9000"), ["case_id"])
 
 
-@query("j8_overlapping_keys", "with k as (select event_id, app_name, unnest(list_distinct(correlation_keys)) as v from journey_events) select distinct x.event_id as a, y.event_id as b from k x join k y using (v) where x.app_name = 'web_portal' and y.app_name = 'score_svc' and x.v is not null and length(x.v) > 9")
+_BARE = "lower(trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(12288) || chr(34) || chr(39)))"
+
+
+@query("j8_overlapping_keys", f"""with k as (select event_id, app_name, unnest(list_distinct(correlation_keys)) as v from journey_events),
+u as (select * from k where v is not null and {_BARE.format('v')} not in (select {_BARE.format('placeholder')} from placeholder_keys))
+select distinct x.event_id as a, y.event_id as b from u x join u y using (v) where x.app_name = 'web_portal' and y.app_name = 'score_svc'""")
 def j8(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "journey_events")
     return relational.overlapping(e.filter("app_name = 'web_portal'"), e.filter("app_name = 'score_svc'"), "event_id", "correlation_keys", load(spark, d, "placeholder_keys"))
@@ -237,7 +242,7 @@ def o11(spark: SparkSession, d: str) -> DataFrame:
     return stats.label_encoded(log_day(spark, d), "activity").select("event_id", F.col("code").cast("int").alias("code"))
 
 
-@query("o12_one_hot", f"with {LOG} select event_id, cast(activity = 'view' as integer) as is_view, cast(activity = 'error' as integer) as is_error from log")
+@query("o12_one_hot", f"with {LOG} select event_id, cast(activity = 'error' as integer) as is_error, cast(activity = 'purchase' as integer) as is_purchase, cast(activity = 'signup' as integer) as is_signup, cast(activity = 'view' as integer) as is_view from log")
 def o12(spark: SparkSession, d: str) -> DataFrame:
     log = log_day(spark, d)
     return stats.one_hot(log, "event_id", "activity", stats.categories(log, "activity"))
