@@ -10,19 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Bytecode size beyond which HotSpot leaves a method uncompiled.
-_JIT_LIMIT = "8000"
+#: Settings of generated code that iterative and wide plans need, with the defaults that they replace. Methods beyond
+#: 8000 bytes are left uncompiled by HotSpot and run interpreted, several times slower: such stages run operator by
+#: operator instead, where the code is split. Without stage numbers in class names, repeated rounds of one plan share
+#: their compiled code.
+_CODE = {"spark.sql.codegen.hugeMethodLimit": ("65535", "8000"), "spark.sql.codegen.useIdInClassName": ("true", "false")}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let stages whose generated method is too large for the JIT run operator by operator, where the code is split.
-
-    Spark's default accepts methods of 65,535 bytes, which then run interpreted, several times slower. A value that
-    somebody has set stays.
-    """
-    name = "spark.sql.codegen.hugeMethodLimit"
-    if spark.conf.get(name) == "65535":
-        spark.conf.set(name, _JIT_LIMIT)
+    """Set what _CODE lists; a value that somebody has set stays."""
+    for name, (default, value) in _CODE.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, value)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
