@@ -10,20 +10,14 @@ executor costs no recomputation of earlier rounds.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.instants import BLANKS
 from flowloom.session import cut
 
 #: Rate of the exponential head starts, and the most hops that a cluster grows in a round.
-BETA, HOPS = 0.5, 4
-#: A token that holds more than one row in HOT is hot: there are fewer than HOT of them, which bounds their broadcast.
-HOT, SALTS = 1000, 64
-#: Edges from which on the remaining rounds run inside one task; above, every round is distributed.
-LOCAL_EDGES = 20_000
+BETA, HOPS = 0.25, 6
 
 
 def key_form(key: Column) -> Column:
@@ -33,94 +27,63 @@ def key_form(key: Column) -> Column:
 
 def head_start(vertex: Column, seed: int) -> Column:
     """An exponential draw, cut off at HOPS, that depends on vertex and seed only."""
-    uniform = (F.pmod(F.xxhash64(vertex, F.lit(seed)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+    uniform = (F.pmod(F.xxhash64(vertex, F.lit(str(seed))), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
     return F.least(-F.log(uniform) / BETA, F.lit(float(HOPS)))
 
 
-def _grow(edges: DataFrame, seed: int) -> DataFrame:
-    """(v, c): the cluster of each vertex of ``edges`` (both directions of every edge)."""
-    start = edges.groupBy(F.col("a").alias("v")).agg(F.max("b").alias("any")).select("v", head_start(F.col("v"), seed).alias("lead"), F.col("v").alias("c"))
+def _grow(left: DataFrame, seed: int) -> DataFrame:
+    """(v, c): the cluster of each vertex of the edges (a, b), a <> b.
+
+    A hop is one join of the edges with the clusters reached so far and one maximum by vertex, combined before the
+    shuffle. Every vertex has a loop, which carries its own cluster over, so a hop reads the last one's result once and
+    the plan of a round grows with its hops, not with a power of them. A head start below one reaches nobody.
+    """
+    both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))).alias("e"))
+    both = both.select("e.*").distinct()
     # a tie of two cut-off starts goes to the larger draw of the centre, then to its number
-    state = start.withColumn("m", F.struct("lead", F.xxhash64("c", F.lit(seed + 1)).alias("t"), "c")).select("v", "m")
+    draw = F.struct(head_start(F.col("v"), seed).alias("lead"), F.xxhash64("v", F.lit(str(seed + 1))).alias("t"), F.col("v").alias("c"))
+    state = both.filter("a = b").select(F.col("a").alias("v")).select("v", draw.alias("m"))
     for _ in range(HOPS):
-        offers = edges.join(state, edges["a"] == state["v"]).filter(F.col("m.lead") >= 1)
-        offers = offers.select(F.col("b").alias("v"), F.struct((F.col("m.lead") - 1).alias("lead"), F.col("m.t").alias("t"), F.col("m.c").alias("c")).alias("m"))
-        state = state.unionByName(offers).groupBy("v").agg(F.max("m").alias("m"))
+        lead = F.col("m.lead") - F.when(F.col("a") == F.col("b"), 0).otherwise(1)
+        offers = both.join(state, F.col("a") == F.col("v")).select(F.col("b").alias("v"), F.struct(lead.alias("lead"), F.col("m.t").alias("t"), F.col("m.c").alias("c")).alias("m"))
+        state = offers.filter("m.lead >= 0").groupBy("v").agg(F.max("m").alias("m"))
     return state.select("v", F.col("m.c").alias("c"))
 
 
-def _finish(edges: pd.DataFrame) -> pd.DataFrame:
-    """The same rounds on the last few edges: grow, contract, recurse, compose."""
-    names, ends = np.unique(edges[["a", "b"]].to_numpy(np.int64), return_inverse=True)
-    a, b = ends.reshape(-1, 2).T
-    root, rng = np.arange(len(names)), np.random.default_rng(len(edges))
-    while len(a):
-        src, dst = np.r_[a, b], np.r_[b, a]
-        # a minute random part stands for the tie-break among cut-off starts
-        reach = np.minimum(rng.exponential(1 / BETA, len(names)), HOPS) + rng.random(len(names)) * 1e-6
-        centre = np.arange(len(names))
-        for _ in range(HOPS):
-            offer = reach[src] - 1
-            order = np.lexsort((offer, dst))
-            last = np.r_[dst[order][1:] != dst[order][:-1], True]
-            at, best = dst[order][last], order[last]
-            better = (offer[best] > reach[at]) & (offer[best] >= 0)
-            moved, moved_reach = centre[src[best[better]]], offer[best[better]]
-            centre[at[better]], reach[at[better]] = moved, moved_reach
-        root = centre[root]
-        pairs = np.sort(np.c_[centre[a], centre[b]], axis=1)
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        a, b = pairs.T if len(pairs) else (a[:0], b[:0])
-    return pd.DataFrame({"v": names, "c": names[root]})
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", seed: int = 1) -> DataFrame:
     """(v, root): for every vertex of an edge the root of its component; equal roots mean connected.
 
     Vertices are bigint. Loops, repeated edges and either direction are allowed; rows with a null end are left out.
     Roots are vertices of the component, but not always the smallest. Chains of any length come out whole: a round
-    shortens them by a constant factor, and rounds go on until no edge joins two clusters.
+    shortens them by a constant factor, and rounds go on, distributed to the last, until no edge joins two clusters.
     """
     one = edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).filter("a is not null and b is not null")
-    alone = one.filter("a = b").select(F.col("a").alias("v"), F.col("a").alias("root")).distinct()
-    one = one.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = cut(one)
+    every = one.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    left = cut(one.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     levels: list[DataFrame] = []
-    while edges_left := left.count():
-        if edges_left <= LOCAL_EDGES:
-            levels.append(cut(left.groupBy(F.lit("all").alias("all")).applyInPandas(_finish, "v bigint, c bigint")))
-            break
-        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        cluster = cut(_grow(both, seed + 7 * len(levels)))
+    while not left.isEmpty():
+        cluster = cut(_grow(left, seed + 7 * len(levels)))
         levels.append(cluster)
         ca, cb = cluster.select(F.col("v").alias("a"), F.col("c").alias("ca")), cluster.select(F.col("v").alias("b"), F.col("c").alias("cb"))
         joined = left.join(ca, "a").join(cb, "b").filter("ca <> cb")
         left = cut(joined.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
     if not levels:
-        return alone
+        return every.select("v", F.col("v").alias("root"))
     roots = levels[-1].select("v", F.col("c").alias("root"))
     for cluster in reversed(levels[:-1]):
         up = roots.withColumnRenamed("v", "c")
         roots = cluster.join(up, "c", "left").select("v", F.coalesce("root", "c").alias("root"))
-    return roots.unionByName(alone.join(roots, "v", "left_anti"))
+    return every.join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root"))
 
 
 def linked_rows(tokens: DataFrame) -> DataFrame:
     """Edges (a, b) from each row to the smallest row that shares one of its tokens; ``tokens`` has row and token.
 
-    Tokens that hold more than one row in HOT are first linked within SALTS parts, so that no task sees all rows of one.
+    A token's smallest row is an aggregation with map-side combine, so a token that holds a third of all rows is one
+    row a task of it. Where its rows meet that row again, AQE splits them, whatever the token's share of all rows.
     """
-    total = tokens.count()
-    hot = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT > total).select("token", F.lit(True).alias("hot"))
-    marked = tokens.join(F.broadcast(hot), "token", "left")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(F.lit(0))
-    marked = marked.withColumn("salt", salt)
-    near = marked.select("row", F.min("row").over(Window.partitionBy("token", "salt")).alias("hub"))
-    edges = near.filter("row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b"))
-    # the hubs of a hot token, at most SALTS of them, are linked to the smallest one
-    hubs = marked.filter("hot").groupBy("token", "salt").agg(F.min("row").alias("hub"))
-    hubs = hubs.select(F.col("hub").alias("a"), F.min("hub").over(Window.partitionBy("token")).alias("b")).filter("a <> b")
-    return edges.unionByName(hubs)
+    hub = tokens.groupBy("token").agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", "b")
+    return tokens.join(hub, "token").filter("row <> b").select(F.col("row").alias("a"), "b")
 
 
 def journeys(events: DataFrame, placeholders: DataFrame) -> DataFrame:

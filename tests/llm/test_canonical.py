@@ -30,11 +30,11 @@ def test_tree_finds_what_a_scan_finds(forms, value):
 
 
 def frame(spark):
-    names = ["accountNumber", "ACCT-NBR", "tbl.acocunt number_v2", "number_account", "account nmbr", "  DOB ", "birth city", "ａｃｃｏｕｎｔ＿ｎｕｍｂｅｒ", "residence country", "", "   ", None, "!!!", "account manager", "z" * 50_000, "DOB", "DOB"]
+    names = ["accountNumber", "ACCT-NBR", "tbl.acocunt number_v2", "number_account", "account nmbr", "  DOB ", "birth city", "ａｃｃｏｕｎｔ＿ｎｕｍｂｅｒ", "residence country", "", "   ", None, "!!!", "account manager", "z" * 50_000, "DOB", "DOB", "account_number_v2", "tbl.dob", "tbl_account_number", "BirthDate_v2", "tblCountryResidence", "residence_country_v2"]
     return spark.createDataFrame([(i, n, "x", "y") for i, n in enumerate(names)], "obs_id bigint, raw_name string, preferred_name string, raw string")
 
 
-WANT = {0: "account_number", 1: "account_number", 2: "account_number", 3: "account_number", 4: "account_number", 5: "birth_date", 6: "", 7: "account_number", 8: "country_of_residence", 12: "", 13: "", 14: "", 15: "birth_date", 16: "birth_date"}
+WANT = {0: "account_number", 1: "account_number", 2: "account_number", 3: "account_number", 4: "account_number", 5: "birth_date", 6: "", 7: "account_number", 8: "country_of_residence", 12: "", 13: "", 14: "", 15: "birth_date", 16: "birth_date", 17: "account_number", 18: "birth_date", 19: "account_number", 20: "birth_date", 21: "country_of_residence", 22: "country_of_residence"}
 
 
 def test_match(spark, monkeypatch):
@@ -50,3 +50,35 @@ def test_empty(spark):
     entries = spark.createDataFrame(ENTRIES, "preferred_name string, aliases array<string>")
     assert rows(canonical.match(frame(spark).limit(0), entries)) == []
     assert {r.preferred_name for r in canonical.match(frame(spark), entries.limit(0)).collect()} == {""}
+
+
+def test_added_words_are_learnt(spark):
+    """Affixes that no list names, of any length, are found by the entries that they leave behind; others stay."""
+    entries = spark.createDataFrame(ENTRIES, "preferred_name string, aliases array<string>")
+    names = [*(f"{n}_prod" for n in ("account_number", "birth_date", "residence_country")), *(f"legacy.{n}" for n in ("dob", "accountNumber", "country_of_residence")), "legacy_account_nubmer_prod", "birth_place", "account_place", "once_dob", "prod"]
+    got = {r.raw_name: r.preferred_name for r in canonical.match(spark.createDataFrame([(n,) for n in names], "raw_name string"), entries).collect()}
+    want = ["account_number", "birth_date", "country_of_residence", "birth_date", "account_number", "country_of_residence", "account_number", "", "", "", ""]
+    assert got == dict(zip(names, want))
+    got = {r.raw_name: r.preferred_name for r in canonical.match(spark.createDataFrame([("once_dob",)], "raw_name string"), entries, added_to=1).collect()}
+    assert got == {"once_dob": "birth_date"}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcd", min_size=1, max_size=63), st.lists(st.text("abcde", min_size=4, max_size=4), min_size=1, max_size=5))
+def test_bit_parallel_distance(form, values):
+    import numpy as np
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    assert list(canonical.levenshtein(form, np.array([list(map(ord, v)) for v in values]))) == [plain(form, v) for v in values]
+
+
+def test_shortened_forms_take_an_edit_for_six_letters():
+    assert [canonical.radius("x" * n, True) for n in (2, 3, 11, 12, 30)] == [0, 1, 1, 2, 2]
+    assert [canonical.radius("x" * n, False) for n in (2, 3, 5, 6, 30)] == [0, 1, 1, 2, 2]
