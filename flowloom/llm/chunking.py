@@ -1,8 +1,9 @@
 """Splitting oversized texts at natural boundaries, by content-defined landmarks.
 
-A gear hash rolls over the token ids; where its low bits are zero lies a landmark. The cut nearest to a landmark is
-snapped to the best natural boundary (paragraph, else line, else sentence) between the smallest and the largest piece.
-Landmarks depend on the nearest tokens only, so an edit moves the cuts around it and leaves the others.
+A gear hash rolls over the token ids. A landmark is a boundary that is the best within LEAST tokens on either side: of
+the most natural kind there (paragraph, else line, else sentence, else a character), and of these the one with the
+smallest hash. Text is cut at every landmark; a stretch between two landmarks that is too long for one piece is halved
+by the same rule. No cut depends on an earlier one, so an edit can move cuts only within LEAST tokens of it.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame
 from flowloom.llm import bpe
 
 LIMIT, OVERLAP = 512, 32
-#: Smallest piece before its overlap, tokens that the rolling hash sees, and its mask: a landmark every 64 tokens.
-LEAST, SEEN, MASK = 160, 16, np.uint64(63)
+#: Smallest piece before its overlap, and the tokens that the rolling hash sees.
+LEAST, SEEN = 160, 16
 _BOUNDARIES = (
     regex.compile(rb"\r?\n[ \t]*\r?\n\s*"),
     regex.compile(rb"\r?\n\s*"),
@@ -35,12 +36,14 @@ def gear(size: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def landmarks(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Token positions before which a landmark lies."""
-    value, h = table[ids], np.zeros(len(ids), dtype=np.uint64)
+def rolled(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The hash of the SEEN tokens before each position between tokens 0 .. n; the first position has none."""
+    value, h = table[ids], np.zeros(len(ids) + 1, dtype=np.uint64)
     for k in range(min(SEEN, len(ids))):
-        h[k:] += value[: len(ids) - k] << np.uint64(k)
-    return np.flatnonzero((h >> np.uint64(8)) & MASK == 0) + 1
+        h[k + 1 :] += value[: len(ids) - k] << np.uint64(k)
+    # high bits have seen all tokens, so they decide
+    h ^= h >> np.uint64(29)
+    return h * np.uint64(0x9E3779B97F4A7C15)
 
 
 def boundary_ranks(data: bytes, ends: np.ndarray) -> np.ndarray:
@@ -58,20 +61,50 @@ def boundary_ranks(data: bytes, ends: np.ndarray) -> np.ndarray:
     return rank
 
 
-def cuts(ids: np.ndarray, rank: np.ndarray, marks: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
-    """Token positions at which the pieces' own parts start; the first is 0."""
-    n, out = len(ids), [0]
-    while True:
-        start = out[-1]
-        room = limit - (overlap if start else 0)
-        if n - start <= room:
-            return out
-        low, high = start + min(LEAST, room), start + room
-        here = rank[low : high + 1]
-        mark = marks[np.searchsorted(marks, low) : np.searchsorted(marks, high, side="right")]
-        goal = int(mark[len(mark) // 2]) if len(mark) else high
-        best = np.flatnonzero(here == here.min()) + low
-        out.append(int(best[np.argmin(np.abs(best - goal))]))
+_NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _window_least(key: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of every ``width`` neighbours, in linear time: key[i : i + width] for each i."""
+    n = len(key) - width + 1
+    padded = np.full(-(-len(key) // width) * width, _NEVER, dtype=np.uint64)
+    padded[: len(key)] = key
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+
+
+def landmarks(key: np.ndarray, least: int) -> np.ndarray:
+    """Positions whose key is below all keys of the ``least`` positions before and not above those behind."""
+    wide = np.full(len(key) + 2 * least, _NEVER, dtype=np.uint64)
+    wide[least : least + len(key)] = key
+    best = _window_least(wide, least)  # best[i] covers the positions i - least .. i - 1
+    before, behind = best[: len(key)], best[least + 1 : least + 1 + len(key)]
+    return np.flatnonzero((key < before) & (key <= behind) & (key != _NEVER))
+
+
+def cuts(ids: np.ndarray, rank: np.ndarray, hashes: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
+    """Token positions at which the pieces' own parts start; the first is 0.
+
+    No part is shorter than the smaller of LEAST and a third of what a piece holds besides its overlap, none longer
+    than that. Where no start of a character lies far enough from the ends, a part may start within one.
+    """
+    n, room = len(ids), limit - overlap
+    least = max(1, min(LEAST, room // 3))
+    key = (rank.astype(np.uint64) << np.uint64(61)) | (hashes[: len(rank)] >> np.uint64(3))
+    key = np.r_[key, _NEVER][: n + 1]
+    key[: least], key[max(0, n - least + 1) :] = _NEVER, _NEVER
+    bounds = [0, *landmarks(key, least).tolist(), n]
+    out, todo = [], list(zip(bounds, bounds[1:]))[::-1]
+    while todo:
+        a, b = todo.pop()
+        if b - a <= (room if a else limit):
+            out.append(a)
+            continue
+        at = a + least + int(np.argmin(key[a + least : b - least + 1]))
+        todo += [(at, b), (a, at)]
+    return out
 
 
 def split(documents: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -102,7 +135,7 @@ def split(documents: DataFrame, key: str = "doc_id", text: str = "text", limit:
                     continue
                 data, ends = content.encode(), np.cumsum(width[ids])
                 rank = boundary_ranks(data, ends)
-                at = cuts(ids, rank, landmarks(ids, table), limit, overlap)
+                at = cuts(ids, rank, rolled(ids, table), limit, overlap)
                 starts = np.r_[0, ends]
                 for j, c in enumerate(at):
                     a, b = max(0, c - overlap) if j else 0, at[j + 1] if j + 1 < len(at) else len(ids)

@@ -25,29 +25,33 @@ def key_form(key: Column) -> Column:
     return F.lower(F.btrim(key, F.lit(BLANKS + "'\"")))
 
 
+#: A head start and its tie-break in one number: _HOP is one hop, the lowest 40 bits break ties of cut-off starts.
+_HOP, _TIE = 1 << 60, (1 << 40) - 1
+
+
 def head_start(vertex: Column, seed: int) -> Column:
-    """An exponential draw, cut off at HOPS, that depends on vertex and seed only."""
+    """An exponential draw in units of _HOP, cut off at HOPS, with a tie-break; it depends on vertex and seed only."""
     uniform = (F.pmod(F.xxhash64(vertex, F.lit(str(seed))), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
-    return F.least(-F.log(uniform) / BETA, F.lit(float(HOPS)))
+    start = F.floor(F.least(-F.log(uniform) / BETA, F.lit(float(HOPS))) * (1 << 20)).cast("long")
+    return F.shiftleft(start, 40).bitwiseOR(F.xxhash64(vertex, F.lit(str(seed + 1))).bitwiseAND(_TIE))
 
 
 def _grow(left: DataFrame, seed: int) -> DataFrame:
-    """(v, c): the cluster of each vertex of the edges (a, b), a <> b.
+    """(v, c): the cluster of each vertex of the edges (a, b), which are distinct, a <> b.
 
     A hop is one join of the edges with the clusters reached so far and one maximum by vertex, combined before the
     shuffle. Every vertex has a loop, which carries its own cluster over, so a hop reads the last one's result once and
-    the plan of a round grows with its hops, not with a power of them. A head start below one reaches nobody.
+    the plan of a round grows with its hops, not with a power of them. A head start below one hop reaches nobody.
     """
-    both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))).alias("e"))
-    both = both.select("e.*").distinct()
-    # a tie of two cut-off starts goes to the larger draw of the centre, then to its number
-    draw = F.struct(head_start(F.col("v"), seed).alias("lead"), F.xxhash64("v", F.lit(str(seed + 1))).alias("t"), F.col("v").alias("c"))
-    state = both.filter("a = b").select(F.col("a").alias("v")).select("v", draw.alias("m"))
+    both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+    vertices = both.select("a").distinct()
+    both = both.unionByName(vertices.select("a", F.col("a").alias("b")))
+    state = vertices.select(F.col("a").alias("v"), F.col("a").alias("c"), head_start(F.col("a"), seed).alias("m"))
     for _ in range(HOPS):
-        lead = F.col("m.lead") - F.when(F.col("a") == F.col("b"), 0).otherwise(1)
-        offers = both.join(state, F.col("a") == F.col("v")).select(F.col("b").alias("v"), F.struct(lead.alias("lead"), F.col("m.t").alias("t"), F.col("m.c").alias("c")).alias("m"))
-        state = offers.filter("m.lead >= 0").groupBy("v").agg(F.max("m").alias("m"))
-    return state.select("v", F.col("m.c").alias("c"))
+        reached = F.col("m") - F.when(F.col("a") == F.col("b"), 0).otherwise(_HOP)
+        offers = both.join(state, F.col("a") == F.col("v")).select(F.col("b").alias("v"), "c", reached.alias("m")).filter("m >= 0")
+        state = offers.groupBy("v").agg(F.max_by("c", "m").alias("c"), F.max("m").alias("m"))
+    return state.select("v", "c")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", seed: int = 1) -> DataFrame:

@@ -13,8 +13,9 @@ from flowloom.session import cut
 
 #: Tokens that the knapsack fits exactly; the budget above them is filled evenly by length first.
 FIT_TOKENS = 1 << 16
-#: Documents of one source and length are taken by hash bucket, so that none is ranked with all others.
-BUCKETS = 64
+#: Documents of one source and length are taken by hash bucket, so that none is ranked with all others: a bucket for
+#: so many of the table's documents, at least FEWEST.
+BUCKET_ROWS, FEWEST = 100_000, 64
 
 
 def source_key(c: Column) -> Column:
@@ -65,9 +66,10 @@ def fit_source(length: np.ndarray, count: np.ndarray, budget: int, most: int) ->
             more = int(min(count[i] - even[i], (left - FIT_TOKENS) // max(1, length[i]) + 1, left // max(1, length[i])))
             even[i] += max(0, more)
             left -= max(0, more) * int(length[i])
+    # what is left is at most FIT_TOKENS, or all documents that would fit are taken: the knapsack is always the last step
     fits = (length > 0) & (length <= left) & (count > even)
     extra = np.zeros(len(length), dtype=np.int64)
-    if left <= 4 * FIT_TOKENS and fits.any():
+    if fits.any():
         where = np.flatnonzero(fits)
         extra[where] = fit_remainder(length[where], (count - even)[where], left)
     return every, even + extra
@@ -91,6 +93,45 @@ def totals(lengths: DataFrame, targets: DataFrame) -> DataFrame:
     return one.withColumn("budget", F.col("target_share") * F.col("all_tokens")).withColumn("reachable", F.col("max_repeats") * F.col("tokens"))
 
 
+def _buckets(lengths: DataFrame) -> int:
+    return max(FEWEST, lengths.count() // BUCKET_ROWS)
+
+
+def _counted(lengths: DataFrame, buckets: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The documents that have tokens, with their bucket, and their number by source, length and bucket."""
+    used = lengths.filter("n_tokens > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)))
+    return used, used.groupBy("source_key", "n_tokens", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fitted(counts: DataFrame, goal: DataFrame) -> DataFrame:
+    """(source_key, n_tokens, n, every, more): the plan. Of the n documents of a length each is used ``every`` times and
+    ``more`` of them once more. A source's rows are its distinct lengths: the longest text bounds them, not its
+    documents."""
+    by_length = counts.groupBy("source_key", "n_tokens").agg(F.sum("n").alias("n")).join(goal.select("source_key", "budget", "max_repeats"), "source_key")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n_tokens")
+        every, more = fit_source(pdf["n_tokens"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(pdf["budget"].iloc[0]), int(pdf["max_repeats"].iloc[0]))
+        return pd.DataFrame({"source_key": pdf["source_key"], "n_tokens": pdf["n_tokens"], "n": pdf["n"], "every": every, "more": more})
+
+    return by_length.groupBy("source_key").applyInPandas(fit, "source_key string, n_tokens bigint, n bigint, every bigint, more bigint")
+
+
+def _with_shortage(goal: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds ``short``: the plan uses every document of the source as often as allowed, and budget is still left."""
+    used = plan.groupBy("source_key").agg(F.sum(F.col("n_tokens") * (F.col("n") * F.col("every") + F.col("more"))).alias("used"), F.min("every").alias("every"))
+    j = goal.join(used, "source_key", "left")
+    exhausted = F.coalesce(F.col("every") >= F.col("max_repeats"), F.lit(True))
+    return j.withColumn("short", exhausted & (F.coalesce("used", F.lit(0)) < F.col("budget"))).drop("used", "every")
+
+
+def shortages(documents: DataFrame, targets: DataFrame, seed: int = 17, **vocabulary: str) -> DataFrame:
+    """One row for each target source with ``short``, whether the fitted plan cannot give it its share."""
+    lengths = cut(token_lengths(documents, **vocabulary))
+    goal = totals(lengths, targets)
+    return _with_shortage(goal, fitted(_counted(lengths, FEWEST, seed)[1], goal))
+
+
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, **vocabulary: str) -> tuple[DataFrame, DataFrame]:
     """(draw, report): draw has doc_id, source_key, n_tokens and times >= 1; report one row for each target source.
 
@@ -102,18 +143,10 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, **vocabulary:
     """
     lengths = cut(token_lengths(documents, **vocabulary))
     goal = totals(lengths, targets)
-    bucket = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BUCKETS))
-    used = lengths.filter("n_tokens > 0").withColumn("bucket", bucket)
-    counts = used.groupBy("source_key", "n_tokens", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    by_length = counts.groupBy("source_key", "n_tokens").agg(F.sum("n").alias("n")).join(goal.select("source_key", "budget", "max_repeats"), "source_key")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n_tokens")
-        every, more = fit_source(pdf["n_tokens"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(pdf["budget"].iloc[0]), int(pdf["max_repeats"].iloc[0]))
-        return pd.DataFrame({"source_key": pdf["source_key"], "n_tokens": pdf["n_tokens"], "every": every, "more": more})
-
-    # a source's group has one row for each distinct length: bounded by the longest text, not by its documents
-    plan = by_length.groupBy("source_key").applyInPandas(fit, "source_key string, n_tokens bigint, every bigint, more bigint")
+    used, counts = _counted(lengths, _buckets(lengths), seed)
+    plan = cut(fitted(counts, goal))
+    goal = _with_shortage(goal, plan)
+    plan = plan.select("source_key", "n_tokens", "every", "more")
     w = Window.partitionBy("source_key", "n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     quota = counts.join(plan, ["source_key", "n_tokens"]).withColumn("earlier", F.coalesce(F.sum("n").over(w), F.lit(0)))
     quota = quota.select("source_key", "n_tokens", "bucket", "every", F.greatest(F.lit(0), F.least("n", F.col("more") - F.col("earlier"))).alias("more"))
@@ -123,4 +156,4 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, **vocabulary:
     got = draw.groupBy("source_key").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("drawn_tokens"), F.max("times").alias("most_repeats"))
     report = goal.join(got, "source_key", "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0)))
     report = report.withColumn("share", F.col("drawn_tokens") / F.nullif(F.sum("drawn_tokens").over(Window.partitionBy(F.lit(1))), F.lit(0)))
-    return draw, report.select("source", "target_share", "share", "tokens", "drawn_tokens", "most_repeats", "max_repeats", (F.col("reachable") < F.col("budget")).alias("short"))
+    return draw, report.select("source", "target_share", "share", "tokens", "drawn_tokens", "most_repeats", "max_repeats", "short")

@@ -27,8 +27,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = mixing.token_lengths(load(spark, sf_dir, "documents"))
-    return mixing.totals(lengths, load(spark, sf_dir, "mix_targets")).filter("reachable < budget").select("source")
+    return mixing.shortages(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets")).filter("short").select("source")
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from flowloom.llm import sequences
+from flowloom.operators import logs
 from tests.conftest import rows
 
 
@@ -48,9 +49,11 @@ def brute(data, percent):
     return sorted(((">".join(p), n) for p, n in counts.items() if n * 100 >= percent * len(cases)), key=repr)
 
 
-@pytest.mark.parametrize("shard_lists", [5_000, 4])
-def test_frequent_against_brute_force(spark, monkeypatch, shard_lists):
-    monkeypatch.setattr(sequences, "SHARD_LISTS", shard_lists)
+@pytest.mark.parametrize("hot", [20_000, 4])
+def test_frequent_against_brute_force(spark, monkeypatch, hot):
+    """Lists in several tasks; with cases whole, and cut into pieces that are joined two at a time."""
+    monkeypatch.setattr(logs, "HOT_EVENTS", hot)
+    monkeypatch.setattr(sequences, "JOINED_PIECES", 2)
     monkeypatch.setattr(sequences, "REDUCE_FROM", 5)
     rng = np.random.default_rng(2)
     data = [(f"c{i}", "abcde"[rng.integers(0, 5)], int(rng.integers(0, 6)) << 38) for i in range(40) for _ in range(rng.integers(1, 9))]
@@ -59,9 +62,28 @@ def test_frequent_against_brute_force(spark, monkeypatch, shard_lists):
     assert rows(sequences.frequent(df, 10)) == brute(data, 10)
 
 
-def test_closed_patterns_are_closed():
-    own = sequences.Lists(["0;1;2", "0;1;2", "0;2;1"], np.array([1, 1, 1]), 3)
-    assert sorted(own.closed(2)) == [((0, 1), 3), ((0, 1, 2), 2), ((0, 2), 3)]
+def closed_by_definition(lists, least):
+    """Frequent patterns of any length that no frequent pattern of the same support holds."""
+    counts = {}
+    for steps in lists:
+        for p in parts([(t, c) for t, step in enumerate(steps) for c in step], len(steps)) - {()}:
+            counts[p] = counts.get(p, 0) + 1
+
+    def held(p, q):
+        rest = iter(q)
+        return p != q and all(x in rest for x in p)
+
+    often = {p: n for p, n in counts.items() if n >= least}
+    return sorted((p, n) for p, n in often.items() if not any(n == m and held(p, q) for q, m in often.items()))
+
+
+def test_closed_patterns_are_those_of_the_definition(spark):
+    rng = np.random.default_rng(7)
+    for _ in range(4):
+        lists = [[sorted(set(rng.integers(0, 4, rng.integers(1, 3)).tolist())) for _ in range(rng.integers(1, 6))] for _ in range(12)]
+        coded = [[2 * c + (i > 0) for step in steps for i, c in enumerate(step)] for steps in lists]
+        df = spark.createDataFrame([(c, 1) for c in coded], "list array<int>, n bigint").repartition(3)
+        assert sorted(sequences.closed_patterns(df, 4, 25, 12)) == closed_by_definition(lists, 3)
 
 
 def test_ties_single_rows_and_empty(spark):
