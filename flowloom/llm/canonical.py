@@ -103,7 +103,7 @@ def distance(a: str, b: str) -> int:
 
 
 def levenshtein(form: str, values: np.ndarray) -> np.ndarray:
-    """Levenshtein distances between a form of up to 63 characters and equally long values, one row of code points each.
+    """Levenshtein distances between a form of up to 63 characters and values, rows of code points padded with -1.
 
     Bit-parallel: a column of the matrix is the bits of one number a value.
     """
@@ -120,7 +120,7 @@ def levenshtein(form: str, values: np.ndarray) -> np.ndarray:
         x = same | down
         h = (((same & up) + up) ^ up) | same
         plus, minus = down | ~(h | up), up & h
-        score += (plus & top != 0).astype(np.int64) - (minus & top != 0)
+        score += ((plus & top != 0).astype(np.int64) - (minus & top != 0)) * (column >= 0)
         plus, minus = (plus << one) | one, minus << one
         up, down = minus | ~(x | plus), plus & x
     return score
@@ -132,6 +132,7 @@ class Tree:
     def __init__(self, entries: list[tuple[str, bool, str]]) -> None:
         self.exact = {form: (0, short, name) for form, short, name in entries}
         self.roots: dict[int, list] = {}
+        self.longest = max((len(e[0]) for e in entries), default=0)
         self.long = [e for e in entries if len(e[0]) > 63]
         for entry in sorted((e for e in entries if 0 < len(e[0]) <= 63), key=lambda e: hash_order(e[0])):
             points = np.array([list(map(ord, entry[0]))])
@@ -142,28 +143,29 @@ class Tree:
     def search(self, values: list[str]) -> list[tuple[int, bool, str] | None]:
         """For each value the best (distance, shortened, name) within the allowed distance, ties by that order."""
         best: list[tuple[int, bool, str] | None] = [self.exact.get(v) for v in values]
-        by_length: dict[int, list[int]] = {}
-        for i, v in enumerate(values):
-            if best[i] is None and v:
-                by_length.setdefault(len(v), []).append(i)
-                for entry in self.long:
-                    if abs(len(entry[0]) - len(v)) <= REACH:
-                        best[i] = self._better(best[i], v, entry)
-        for n, who in by_length.items():
-            near = [self.roots[k] for k in range(n - REACH, n + REACH + 1) if k in self.roots]
-            if not near:
+        left = sorted((i for i, v in enumerate(values) if best[i] is None and 0 < len(v) <= self.longest + REACH), key=lambda i: len(values[i]))
+        for i in left:
+            for entry in self.long:
+                if abs(len(entry[0]) - len(values[i])) <= REACH:
+                    best[i] = self._better(best[i], values[i], entry)
+        lengths = np.array([len(values[i]) for i in left])
+        for n, root in self.roots.items():  # the values whose length is near enough, all at once
+            who = left[np.searchsorted(lengths, n - REACH) : np.searchsorted(lengths, n + REACH, side="right")]
+            if not who:
                 continue
-            points = np.array([list(map(ord, values[i])) for i in who], dtype=np.int64)
-            open_ = [(root, np.arange(len(who))) for root in near]
+            points = np.full((len(who), n + REACH), -1, dtype=np.int64)
+            for r, i in enumerate(who):
+                points[r, : len(values[i])] = list(map(ord, values[i]))
+            open_ = [(root, np.arange(len(who)))]
             while open_:
                 (entry, below), rows = open_.pop()
                 d = levenshtein(entry[0], points[rows])
                 for r in rows[d <= 2 * REACH]:
                     best[who[r]] = self._better(best[who[r]], values[who[r]], entry)
                 for at, child in below.items():  # every form under child is at distance ``at`` from this one
-                    left = rows[abs(d - at) <= 2 * REACH]
-                    if len(left):
-                        open_.append((child, left))
+                    near = rows[abs(d - at) <= 2 * REACH]
+                    if len(near):
+                        open_.append((child, near))
         return best
 
     @staticmethod
