@@ -37,27 +37,53 @@ def p3_sample_agent_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unified(load(spark, sf_dir, "feed_records"), "sample_agent_logs").withColumn("extras", F.to_json("extras"))
 
 
-def p7_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The typed table of one structural variant: nodes with children, none of them null."""
-    return nested.flatten(load(spark, sf_dir, "event_log"), "row_id", "event_id", "sub_activities").subtypes["branch"].fillna(0, ["own_event_level"])
+def _subtype(kind: str):
+    def one(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The typed table of one structural variant."""
+        table = nested.flatten(load(spark, sf_dir, "event_log"), "row_id", "event_id", "sub_activities").subtypes[kind]
+        return table.drop("state").fillna(0, ["own_event_level"])
+
+    return one
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supertype: the union of the subtype tables."""
     nodes = nested.flatten(load(spark, sf_dir, "event_log"), "row_id", "event_id", "sub_activities").nodes
     return nodes.select("row_id", "node_path", F.col("parent_id").alias("parent_event_id"), F.col("node_id").alias("event_id"), "depth")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_sample_logs": p3_sample_logs, "p3_sample_agent_logs": p3_sample_agent_logs, "p5_found": p5_found, "p7_found": p7_found, "p7_branches": p7_branches}
-SQL: dict[str, str] = {
-    "p7_branches": """
-with second as (
+def p7_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes the automaton leaves in each state."""
+    nodes = nested.flatten(load(spark, sf_dir, "event_log"), "row_id", "event_id", "sub_activities").nodes
+    return nodes.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NODES = """second as (
   select row_id, event_id as parent, i, sub_activities[i] as n
   from (select row_id, event_id, sub_activities, unnest(range(1, len(sub_activities) + 1)) as i from event_log)
-)
-select row_id, cast(i as varchar) as node_path, coalesce(parent, '') as parent_id, coalesce(n.event_id, '') as node_id, 2 as depth,
-  n.event_id as own_event_id, n.activity as own_activity, n."timestamp" as own_timestamp, coalesce(n.event_level, 0) as own_event_level, cast(len(n.sub_activities) as integer) as n_children
-from second where n is not null and len(n.sub_activities) > 0 and len(list_filter(n.sub_activities, lambda x: x is null)) = 0
-""",
+), seen as (select *, case when n.sub_activities is null then 'leaf' when len(n.sub_activities) = 0 then 'empty' when len(list_filter(n.sub_activities, lambda x: x is null)) > 0 then 'gappy' else 'branch' end as kind from second where n is not null),
+third as (
+  select row_id, n.event_id as parent, i, j, n.sub_activities[j] as m
+  from (select row_id, n, i, unnest(range(1, len(n.sub_activities) + 1)) as j from seen)
+), deep as (select * from third where m is not null)"""
+_SECOND = """select row_id, cast(i as varchar) as node_path, coalesce(parent, '') as parent_id, coalesce(n.event_id, '') as node_id, 2 as depth,
+  n.event_id as own_event_id, n.activity as own_activity, n."timestamp" as own_timestamp, coalesce(n.event_level, 0) as own_event_level"""
+_THIRD = """select row_id, i || '.' || j as node_path, coalesce(parent, '') as parent_id, coalesce(m.event_id, '') as node_id, 3 as depth,
+  m.event_id as own_event_id, m.activity as own_activity, m."timestamp" as own_timestamp, coalesce(m.event_level, 0) as own_event_level"""
+_BITS = " || ".join(f"(case when {{0}}.{f} is null then '0' else '1' end)" for f in ("event_id", "activity", '"timestamp"', "event_level"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_sample_logs": p3_sample_logs, "p3_sample_agent_logs": p3_sample_agent_logs, "p5_found": p5_found, "p7_found": p7_found, "p7_branches": _subtype("branch"), "p7_leaves": _subtype("leaf"), "p7_empty": _subtype("empty"), "p7_gappy": _subtype("gappy"), "p7_states": p7_states}
+SQL: dict[str, str] = {
+    "p7_branches": f"with {_NODES} {_SECOND}, cast(len(n.sub_activities) as integer) as n_children from seen where kind = 'branch'",
+    "p7_gappy": f"with {_NODES} {_SECOND}, cast(len(n.sub_activities) as integer) as n_children from seen where kind = 'gappy'",
+    "p7_empty": f"with {_NODES} {_SECOND} from seen where kind = 'empty'",
+    "p7_leaves": f"with {_NODES} {_SECOND} from seen where kind = 'leaf' union all {_THIRD} from deep",
+    "p7_states": f"""with {_NODES}, s as (
+select kind || '[' || (case when kind in ('leaf', 'empty') then '' else (case when len(list_filter(n.sub_activities, lambda x: x is not null)) > 0 then 'leaf' else '' end)
+  || (case when kind = 'gappy' and len(list_filter(n.sub_activities, lambda x: x is not null)) > 0 then '|' else '' end) || (case when kind = 'gappy' then 'null' else '' end) end) || ']:' || {_BITS.format('n')} as state from seen
+union all select 'leaf[]:' || {_BITS.format('m')} from deep)
+select state, count(*) as n from s group by 1""",
     "p7_found": """
 with second as (
   select row_id, event_id as parent, i as i, sub_activities[i] as n
