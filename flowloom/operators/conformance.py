@@ -6,6 +6,7 @@ distinct variant is replayed or aligned once, inside Arrow batches, then joined
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.operators.logs import with_next
 from flowloom.operators.variants import SEP, numbered
 
 
@@ -121,11 +123,16 @@ def is_sound(net: Net, limit: int = 100_000) -> bool:
 
 
 def replay(net: Net, trace: Sequence[str]) -> tuple[int, int, int, int]:
-    """(produced, consumed, missing, remaining) of token replay; silent transitions fire when they enable the next step."""
-    by_label: dict[str, tuple] = {}
+    """(produced, consumed, missing, remaining) of token replay; silent transitions fire when they enable the next step.
+
+    Of several transitions with one label the one that misses fewest tokens fires. An activity that the net lacks
+    counts as a token missing and a token remaining.
+    """
+    by_label: dict[str, list[tuple]] = {}
     for t in net.transitions:
         if t[1] is not None:
-            by_label.setdefault(t[1], t)
+            by_label.setdefault(t[1], []).append(t)
+    foreign = 0
     silent = [t for t in net.transitions if t[1] is None]
     marking: dict[str, int] = dict.fromkeys(net.initial, 1)
     p, c, m = len(net.initial), 0, 0
@@ -146,9 +153,10 @@ def replay(net: Net, trace: Sequence[str]) -> tuple[int, int, int, int]:
         return made, used
 
     for a in trace:
-        t = by_label.get(a)
-        if t is None:
+        if a not in by_label:
+            p, c, m, foreign = p + 1, c + 1, m + 1, foreign + 1
             continue
+        t = min(by_label[a], key=lambda t: sum(not marking.get(x, 0) for x in t[2]))
         made, used = enable(t[2])
         p, c = p + made, c + used
         for x in t[2]:
@@ -168,19 +176,19 @@ def replay(net: Net, trace: Sequence[str]) -> tuple[int, int, int, int]:
         else:
             m += 1
         c += 1
-    return p, c, m, sum(marking.values())
+    return p, c, m, sum(marking.values()) + foreign
 
 
-def align(net: Net, trace: Sequence[str], limit: int = 200_000, prefix: bool = False, suffix: bool = False) -> int | None:
+def align(net: Net, trace: Sequence[str], limit: int | None = None, prefix: bool = False, suffix: bool = False) -> int | None:
     """Cost of a cheapest alignment (log move 1, model move 1, silent and synchronous 0) by Dijkstra's search.
 
-    ``prefix`` lets the model stop early, ``suffix`` lets it start anywhere reachable. None if more than ``limit``
-    states are opened: no guess is made.
+    ``prefix`` lets the model stop early, ``suffix`` lets it start anywhere reachable, both together align an infix. The
+    search is exact; only a caller's ``limit`` of opened states may end it, with None instead of a guess.
     """
     starts = {tuple(sorted(net.initial))}
     if suffix:
         todo = list(starts)
-        while todo and len(starts) < limit:
+        while todo:
             m = todo.pop()
             for _, _, pre, post in net.transitions:
                 if pre <= set(m):
@@ -199,7 +207,7 @@ def align(net: Net, trace: Sequence[str], limit: int = 200_000, prefix: bool = F
         if i == len(trace) and (prefix or m == end):
             return cost
         opened += 1
-        if opened > limit:
+        if limit is not None and opened > limit:
             return None
         steps = [(cost + 1, i + 1, m)] if i < len(trace) else []
         for _, label, pre, post in net.transitions:
@@ -218,7 +226,7 @@ def align(net: Net, trace: Sequence[str], limit: int = 200_000, prefix: bool = F
 def variant_conformance(variants: DataFrame, net: Net) -> DataFrame:
     """Per variant (column variant, steps joined by '->') replay fitness, alignment cost and fitness.
 
-    Alignment fitness is 1 - cost / (trace length + cost of the empty trace); null where the search was given up.
+    Alignment fitness is 1 - cost / (trace length + cost of the empty trace).
     """
     empty = align(net, [])
 
@@ -239,7 +247,7 @@ def variant_conformance(variants: DataFrame, net: Net) -> DataFrame:
 def log_conformance(cases: DataFrame, net: Net) -> DataFrame:
     """Per case its fitness and whether it is an anomaly; cases: case_id, variant."""
     scored = variant_conformance(cases, net)
-    return cases.select("case_id", "variant").join(scored, "variant").withColumn("anomaly", F.coalesce(F.col("fitness") < 1, F.lit(True)))
+    return cases.select("case_id", "variant").join(scored, "variant").withColumn("anomaly", F.col("fitness") < 1)
 
 
 def average_fitness(scored: DataFrame) -> DataFrame:
@@ -250,35 +258,140 @@ def average_fitness(scored: DataFrame) -> DataFrame:
 def escaping_precision(cases: DataFrame, net: Net) -> DataFrame:
     """Precision by escaping edges on the log's prefix automaton: 1 - escaping / allowed, weighted by cases.
 
-    Prefixes and their next activities are aggregated in Spark; the model is asked once for each distinct prefix.
+    Variants are aggregated first and walked through the model as far as it follows; each step leaves a row of bounded
+    size with a digest of its prefix, so the work grows with the length of the variants, not with its square.
     """
-    steps = F.split("variant", SEP)
-    prefixes = cases.select(steps.alias("s")).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("s")), lambda i: F.struct(F.array_join(F.slice("s", F.lit(1), i), SEP).alias("prefix"), F.try_element_at("s", i + 1).alias("next")))).alias("x"))
-    seen = prefixes.select("x.*").groupBy("prefix").agg(F.collect_set("next").alias("seen"), F.count(F.lit(1)).alias("n"))
+
+    def silent_closure(marks: set[tuple]) -> set[tuple]:
+        todo = list(marks)
+        while todo:
+            m = todo.pop()
+            for _, label, pre, post in net.transitions:
+                if label is None and pre <= set(m) and (x := tuple(sorted((set(m) - pre) | post))) not in marks:
+                    marks.add(x)
+                    todo.append(x)
+        return marks
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for prefix, following, n in zip(pdf["prefix"], pdf["seen"], pdf["n"]):
-                marks = {tuple(sorted(net.initial))}
-                for a in [*(prefix.split(SEP) if prefix else []), None]:
-                    todo = list(marks)
-                    while todo:  # silent closure
-                        m = todo.pop()
-                        for _, label, pre, post in net.transitions:
-                            if label is None and pre <= set(m) and (x := tuple(sorted((set(m) - pre) | post))) not in marks:
-                                marks.add(x)
-                                todo.append(x)
-                    if a is not None:
-                        marks = {tuple(sorted((set(m) - pre) | post)) for m in marks for _, label, pre, post in net.transitions if label == a and pre <= set(m)}
-                allowed = {label for m in marks for _, label, pre, _ in net.transitions if label is not None and pre <= set(m)}
-                rows.append((len(allowed) * n, len(allowed - set(following)) * n))
-            yield pd.DataFrame(rows, columns=["allowed", "escaping"])
-
-    one = seen.mapInPandas(run, "allowed bigint, escaping bigint").agg(F.sum("allowed").alias("a"), F.sum("escaping").alias("e"))
+            for variant, n in zip(pdf["variant"], pdf["n"]):
+                marks, seen = silent_closure({tuple(sorted(net.initial))}), hashlib.sha256()
+                for a in [*(variant.split(SEP) if variant else []), None]:
+                    allowed = sorted({label for m in marks for _, label, pre, _ in net.transitions if label is not None and pre <= set(m)})
+                    rows.append((seen.hexdigest(), allowed, a, n))
+                    if a is None or a not in allowed:
+                        break
+                    seen.update(f"{len(a)}:{a}".encode())
+                    marks = silent_closure({tuple(sorted((set(m) - pre) | post)) for m in marks for _, label, pre, post in net.transitions if label == a and pre <= set(m)})
+            yield pd.DataFrame(rows, columns=["prefix", "allowed", "next", "n"], dtype=object).astype({"n": "int64"})
+
+    variants = cases.groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
+    steps = variants.mapInPandas(run, "prefix string, allowed array<string>, next string, n bigint")
+    seen = steps.groupBy("prefix").agg(F.first("allowed").alias("allowed"), F.collect_set("next").alias("seen"), F.sum("n").alias("n"))
+    one = seen.agg(F.sum(F.size("allowed") * F.col("n")).alias("a"), F.sum(F.size(F.array_except("allowed", "seen")) * F.col("n")).alias("e"))
     return one.select(F.coalesce(1 - F.col("e") / F.nullif(F.col("a"), F.lit(0)), F.lit(1.0)).alias("precision"))
 
 
+def generalization(log: DataFrame, net: Net) -> DataFrame:
+    """1 - the mean over the labelled transitions of 1 / sqrt(number of executions), 1 where there are none."""
+    spark = log.sparkSession
+    transitions = spark.createDataFrame([(t[0], t[1]) for t in net.transitions if t[1] is not None], "id string, activity string")
+    done = log.groupBy("activity").agg(F.count(F.lit(1)).alias("n"))
+    each = transitions.join(done, "activity", "left").select(F.coalesce(1 / F.sqrt("n"), F.lit(1.0)).alias("x"))
+    return each.agg(F.coalesce(1 - F.avg("x"), F.lit(1.0)).alias("generalization"))
+
+
+def partial_alignments(variants: DataFrame, net: Net) -> DataFrame:
+    """(variant, prefix_cost, postfix_cost, infix_cost): the model may stop early, start late, or both."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for v in pdf["variant"]:
+                trace = v.split(SEP) if v else []
+                rows.append((v, align(net, trace, prefix=True), align(net, trace, suffix=True), align(net, trace, prefix=True, suffix=True)))
+            yield pd.DataFrame(rows, columns=["variant", "prefix_cost", "postfix_cost", "infix_cost"])
+
+    return variants.select("variant").distinct().mapInPandas(run, "variant string, prefix_cost int, postfix_cost int, infix_cost int")
+
+
+def replay_summary(scored: DataFrame) -> DataFrame:
+    """The mean replay fitness (1.0 for an empty log) and the number of cases with problems."""
+    return scored.agg(F.coalesce(F.avg("replay_fitness"), F.lit(1.0)).alias("avg_replay_fitness"), F.count_if(F.col("replay_fitness") < 1).alias("n_with_problems"), F.count(F.lit(1)).alias("n_cases"))
+
+
+def repair_loop(cases: DataFrame, net: Net, threshold: float = 0.8, attempts: int = 5) -> tuple[Net, list[tuple[int, float, int]]]:
+    """While the mean replay fitness is below ``threshold``, give the net a transition for each activity that it
+    lacks; stops at the threshold, when no activity is missing any more, or after ``attempts``.
+
+    Returns the net and (attempt, fitness, activities added after it). Each attempt replays every variant once.
+    """
+    activities = sorted(r[0] for r in cases.select(F.explode(F.split("variant", SEP)).alias("a")).filter("a <> ''").distinct().collect())
+    history = []
+    for attempt in range(1, attempts + 1):
+        fitness = float(replay_summary(cases.join(variant_conformance_by_replay(cases, net), "variant")).first()["avg_replay_fitness"])
+        missing = sorted(set(activities) - net.labels())
+        history.append((attempt, fitness, 0 if fitness >= threshold else len(missing)))
+        if fitness >= threshold or not missing:
+            break
+        net = repaired(net, missing)
+    return net, history
+
+
+def variant_conformance_by_replay(variants: DataFrame, net: Net) -> DataFrame:
+    """(variant, replay_fitness) without alignments."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            counts = [replay(net, v.split(SEP) if v else []) for v in pdf["variant"]]
+            yield pd.DataFrame({"variant": pdf["variant"], "replay_fitness": [0.5 * (1 - m / c) + 0.5 * (1 - r / p) if c and p else 1.0 for p, c, m, r in counts]})
+
+    return variants.select("variant").distinct().mapInPandas(run, "variant string, replay_fitness double")
+
+
+def unified_loops(log: DataFrame) -> DataFrame:
+    """Per case the edges between first occurrences of activities: a repeated activity is the node of its first
+    occurrence. (case_id, src, dst, n), self loops included."""
+    nxt = with_next(log).filter("next_activity is not null")
+    return nxt.groupBy("case_id", F.col("activity").alias("src"), F.col("next_activity").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_pairwise(orders: Sequence[Iterable[tuple[str, str]]]) -> set[tuple[str, str]]:
+    """Partial orders merged one after another, cycles removed after each merge, so the order of merging counts."""
+    out: set[tuple[str, str]] = set()
+    for edges in orders:
+        out = without_cycles(out | set(edges))
+    return out
+
+
+def rolled_up(tree: DataFrame, weight: str = "count") -> dict[str, float]:
+    """Conformance of every node of a process tree from that of its leaves: sum(v * w) / sum(w) from the leaves up.
+
+    tree: node, parent, value (of leaves), n (their number of occurrences); weight 'count' uses n, 'equal' 1. The tree
+    of a model is small and is rolled up on the driver; leaves without a value weigh nothing.
+    """
+    rows = {r["node"]: r for r in tree.collect()}
+    children: dict[str | None, list[str]] = {}
+    for n, r in rows.items():
+        children.setdefault(r["parent"], []).append(n)
+    done: dict[str, tuple[float, float]] = {}
+
+    def up(node: str) -> tuple[float, float]:
+        if node not in children:
+            r = rows[node]
+            done[node] = (0.0, 0.0) if r["value"] is None else (float(r["value"]), float(r["n"]) if weight == "count" else 1.0)
+        else:
+            parts = [up(c) for c in children[node]]
+            total = sum(w for _, w in parts)
+            done[node] = (sum(v * w for v, w in parts) / total if total else 0.0, total if weight == "count" else float(total > 0))
+        return done[node]
+
+    for root in children.get(None, []):
+        up(root)
+    return {n: v for n, (v, w) in done.items() if w}
+
+
 def simplicity(net: Net, reference_degree: float = 2.0) -> float:
     """1 / (1 + the mean arc degree of the nodes above a reference degree)."""
     degree: dict[str, int] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,94 @@ def _cases(spark: SparkSession, d: str) -> DataFrame:
 MODEL = conformance.net_from_edges([("view", "click"), ("click", "purchase")])
 
 
+def _cost(v: str, n: str, model: tuple[str, ...]) -> str:
+    """A sequence model's alignment cost: what neither side shares."""
+    return f"({n} + {len(model)} - 2 * ({_subsequence(v, model)}))"
+
+
+def _subsequence(v: str, model: tuple[str, ...]) -> str:
+    tests = []
+    for n in range(len(model), 0, -1):
+        patterns = ["^(.*->)?" + "->(.*->)?".join(p) + "(->.*)?$" for p in dict.fromkeys(itertools.combinations(model, n))]
+        tests.append("when " + " or ".join(f"regexp_matches({v}, '{x}')" for x in patterns) + f" then {n}")
+    return f"case {' '.join(tests)} else 0 end" if model else "0"
+
+
+_STEPS = ("view", "click", "purchase")
+_VARIANT = f"with {LOG}, {CASES}, v as (select variant, max(n) as n, count(*) as cases from cases group by 1)"
+
+
+def _least(of: list[tuple[str, ...]]) -> str:
+    return "least(" + ", ".join(_cost("variant", "n", m) for m in of) + ")"
+
+
+@query("c2_alignment_costs", f"{_VARIANT} select variant, cast({_cost('variant', 'n', _STEPS)} as integer) as cost, 1 - {_cost('variant', 'n', _STEPS)} / (n + 3) as fitness from v")
+def c2(spark: SparkSession, d: str) -> DataFrame:
+    return conformance.variant_conformance(_cases(spark, d), MODEL).select("variant", "cost", "fitness")
+
+
+@query("c3_partial_alignments", f"{_VARIANT} select variant, cast({_least([_STEPS[:k] for k in range(4)])} as integer) as prefix_cost, cast({_least([_STEPS[k:] for k in range(4)])} as integer) as postfix_cost, cast({_least([_STEPS[i:j] for i in range(4) for j in range(i, 4)])} as integer) as infix_cost from v")
+def c3(spark: SparkSession, d: str) -> DataFrame:
+    return conformance.partial_alignments(_cases(spark, d), MODEL)
+
+
+@query("c5_generalization", f"with {LOG}, n as (select activity, count(*) as n from log where activity in ('view', 'click', 'purchase') group by 1) select 1 - (sum(1 / sqrt(n)) + 3 - count(*)) / 3 as generalization from n")
+def c5g(spark: SparkSession, d: str) -> DataFrame:
+    return conformance.generalization(log_day(spark, d), MODEL)
+
+
+@query("c10_most_and_least_common", f"{_VARIANT}, b as (select *, row_number() over (order by cases desc, variant) as first, row_number() over (order by cases, variant) as last from v) select case when first = 1 then 'most' else 'least' end as which, variant, 1 - {_cost('variant', 'n', _STEPS)} / (n + 3) as fitness from b where first = 1 or last = 1")
+def c10(spark: SparkSession, d: str) -> DataFrame:
+    """Conformance of the most and of the least common variant, ties by key."""
+    counts = variants.with_variant(log_day(spark, d)).groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.agg(F.min_by("variant", F.struct(-F.col("n"), "variant")).alias("most"), F.min_by("variant", F.struct("n", "variant")).alias("least"))
+    named = ends.select(F.explode(F.array(F.struct(F.lit("most").alias("which"), F.col("most").alias("variant")), F.struct(F.lit("least").alias("which"), F.col("least").alias("variant")))).alias("x")).select("x.*")
+    return named.join(conformance.variant_conformance(named, MODEL).select("variant", "fitness"), "variant")
+
+
+@query("d16_repair_loop")
+def d16(spark: SparkSession, d: str) -> DataFrame:
+    """The attempts of the repair loop, from a net that lacks two of the log's activities."""
+    _, history = conformance.repair_loop(_cases(spark, d), MODEL)
+    return spark.createDataFrame(history, "attempt int, fitness double, added int")
+
+
+@query("a20_replay_summary")
+def a20(spark: SparkSession, d: str) -> DataFrame:
+    cases = _cases(spark, d)
+    return conformance.replay_summary(cases.join(conformance.variant_conformance_by_replay(cases, MODEL), "variant"))
+
+
+@query("d6_unified_loops", f"with {LOG}, {NEXT} select case_id, activity as src, next_activity as dst, count(*) as n from nx where next_activity is not null group by 1, 2, 3")
+def d6(spark: SparkSession, d: str) -> DataFrame:
+    return conformance.unified_loops(log_day(spark, d))
+
+
+@query("a5_variant_metrics", f"with {LOG}, {CASES} select variant, count(*) as frequency, avg(d) as avg_us, cast(median(d) as double) as median_us, min(d) as min_us, max(d) as max_us, count(*) filter (variant <> 'view->click->purchase') as n_anomalies from cases group by 1")
+def a5(spark: SparkSession, d: str) -> DataFrame:
+    """Frequency, durations and anomalies of each variant."""
+    cases = variants.with_variant(log_day(spark, d)).select("case_id", "variant", (F.col("end_us") - F.col("start_us")).alias("d"))
+    scored = conformance.variant_conformance(cases, MODEL).select("variant", (F.col("fitness") < 1).alias("anomaly"))
+    out = cases.groupBy("variant").agg(F.count(F.lit(1)).alias("frequency"), F.avg("d").alias("avg_us"), F.median("d").cast("double").alias("median_us"), F.min("d").alias("min_us"), F.max("d").alias("max_us"))
+    return out.join(scored, "variant").withColumn("n_anomalies", F.when(F.col("anomaly"), F.col("frequency")).otherwise(0)).drop("anomaly")
+
+
+@query("a6_snapshot_metrics", f"with {LOG}, {CASES} select count(*) as n_cases, count(distinct variant) as n_variants, avg(d) as avg_us, cast(median(d) as double) as median_us, min(d) as min_us, max(d) as max_us, count(*) filter (variant <> 'view->click->purchase') as n_anomalies from cases")
+def a6(spark: SparkSession, d: str) -> DataFrame:
+    """Over all cases, not over the variants' averages."""
+    cases = variants.with_variant(log_day(spark, d)).select("case_id", "variant", (F.col("end_us") - F.col("start_us")).alias("d"))
+    return conformance.log_conformance(cases, MODEL).join(cases.select(F.col("case_id").alias("__c"), "d"), F.col("case_id").eqNullSafe(F.col("__c"))).agg(
+        F.count(F.lit(1)).alias("n_cases"), F.count_distinct("variant").alias("n_variants"), F.avg("d").alias("avg_us"), F.median("d").cast("double").alias("median_us"), F.min("d").alias("min_us"), F.max("d").alias("max_us"), F.count_if("anomaly").alias("n_anomalies")
+    )
+
+
+@query("c8_journey_records", f"with {LOG}, {CASES}, s as (select case_id, min(us) as start_us, max(us) as end_us from log group by 1) select case_id, start_us, end_us, variant as sequence, case when variant = 'view->click->purchase' then 'conforming' else 'anomalous' end as status from cases join s using (case_id)")
+def c8(spark: SparkSession, d: str) -> DataFrame:
+    cases = variants.with_variant(log_day(spark, d))
+    scored = conformance.variant_conformance(cases, MODEL).select("variant", F.when(F.col("fitness") < 1, "anomalous").otherwise("conforming").alias("status"))
+    return cases.join(scored, "variant").select("case_id", "start_us", "end_us", F.col("variant").alias("sequence"), "status")
+
+
 @query("c1_replay_and_alignments")
 def c1(spark: SparkSession, d: str) -> DataFrame:
     return conformance.variant_conformance(_cases(spark, d), MODEL)
@@ -46,12 +135,14 @@ def c7(spark: SparkSession, d: str) -> DataFrame:
     return conformance.log_conformance(_cases(spark, d), MODEL).groupBy((~F.col("anomaly")).alias("conforms")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a19_average_fitness")
+@query("a19_average_fitness", f"{_VARIANT} select sum(cases * (1 - {_cost('variant', 'n', _STEPS)} / (n + 3))) / sum(cases) as avg_fitness, cast(sum(cases) filter (variant <> 'view->click->purchase') as bigint) as n_anomalies from v")
 def a19(spark: SparkSession, d: str) -> DataFrame:
     return conformance.average_fitness(conformance.log_conformance(_cases(spark, d), MODEL))
 
 
-@query("c5_precision")
+@query("c5_precision", f"""with {LOG}, {CASES}, p as (select unnest([0, 1, 2]) as k), m as (select ['view', 'click', 'purchase'] as m),
+x as (select k, count(*) as n, count(*) filter (string_split(variant, '->')[k + 1] = m[k + 1]) as follow from p, m, cases where string_split(variant, '->')[1:k] = m[1:k] and variant is not null group by 1)
+select 1 - sum(case when follow = 0 then n else 0 end) / sum(n) as precision from x""")
 def c5(spark: SparkSession, d: str) -> DataFrame:
     return conformance.escaping_precision(_cases(spark, d), MODEL)
 
