@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
+import re
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -495,6 +497,66 @@ def inductive_tree(edges: dict[tuple[str, str], int], starts: set[str], stops: s
     return "*(tau, " + ", ".join(nodes) + ")"
 
 
+def parsed_tree(text: str) -> tuple:
+    """A tree as nested (operator, children) from its string; leaves are labels, 'tau' is silent."""
+    tokens = re.findall(r"->\(|[X+*]\(|[(),]|[^(),]+", re.sub(r"\s*,\s*", ",", text))
+    at = 0
+
+    def node():
+        nonlocal at
+        token = tokens[at].strip()
+        at += 1
+        if token not in ("->(", "X(", "+(", "*("):
+            return token
+        children = []
+        while True:
+            children.append(node())
+            at += 1
+            if tokens[at - 1] == ")":
+                return token[:-1], children
+
+    return node()
+
+
+def net_from_tree(text: str) -> Net:
+    """The net of a process tree: sequence, exclusive choice, parallel branches with silent split and join, and
+    loops, whose first child is the body and whose other children lead back to it."""
+    transitions: list[tuple] = []
+    places = itertools.count()
+
+    def fire(label: str | None, pre: set[str], post: set[str]) -> None:
+        transitions.append((f"t{len(transitions)}", label, frozenset(pre), frozenset(post)))
+
+    def build(node, a: str, b: str) -> None:
+        if isinstance(node, str):
+            fire(None if node == "tau" else node, {a}, {b})
+            return
+        kind, children = node
+        if kind == "->":
+            stops = [a, *(f"p{next(places)}" for _ in children[1:]), b]
+            for child, x, y in zip(children, stops, stops[1:]):
+                build(child, x, y)
+        elif kind == "X":
+            for child in children:
+                build(child, a, b)
+        elif kind == "+":
+            ends = [(f"p{next(places)}", f"p{next(places)}") for _ in children]
+            fire(None, {a}, {x for x, _ in ends})
+            for child, (x, y) in zip(children, ends):
+                build(child, x, y)
+            fire(None, {y for _, y in ends}, {b})
+        else:
+            x, y = f"p{next(places)}", f"p{next(places)}"
+            fire(None, {a}, {x})
+            build(children[0], x, y)
+            for child in children[1:]:
+                build(child, y, x)
+            fire(None, {y}, {b})
+
+    build(parsed_tree(text), "initial", "final")
+    return Net(tuple(transitions))
+
+
 def cover_models(variants: Sequence[tuple[str, ...]]) -> list[list[int]]:
     """Greedily assign variants to sequence models: each goes to the first model that replays it perfectly, else
     it founds a new one. Returns the variants' numbers by model.

@@ -47,12 +47,34 @@ def loops_over(log: DataFrame, n: int) -> DataFrame:
     return log.groupBy("case_id", "activity").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > n)
 
 
-def status(log: DataFrame, a: str, b: str, limit_us: int, now_us: int) -> DataFrame:
-    """(case_id, status) of the monitor that b must come within limit_us of the first a.
+def missing_before(log: DataFrame, a: str, b: str) -> DataFrame:
+    """Cases in which the first b has no a before it, in event order."""
+    at = lambda x: F.min(F.when(F.col("activity") == x, F.struct("us", "event_id")))
+    first = log.groupBy("case_id").agg(at(a).alias("x"), at(b).alias("y"))
+    return first.filter("y is not null and (x is null or x > y)").select("case_id")
 
-    satisfied, violated, at_risk (over four fifths of the time gone) or ticking; cases without a have none.
+
+def longer_than(log: DataFrame, limit_us: int) -> DataFrame:
+    """(case_id, duration_us) of cases that take longer than a limit."""
+    return log.groupBy("case_id").agg((F.max("us") - F.min("us")).alias("duration_us")).filter(F.col("duration_us") > limit_us)
+
+
+def above_approved(log: DataFrame, amount: str, asked: str, approved: str) -> DataFrame:
+    """Cases whose largest amount of one activity exceeds the largest of another."""
+    of = lambda a: F.max(F.when(F.col("activity") == a, F.col(amount)))
+    return log.groupBy("case_id").agg(of(asked).alias("x"), of(approved).alias("y")).filter("x > y").select("case_id")
+
+
+def status(log: DataFrame, a: str, b: str, limit_us: int, now_us: int, least_us: int | None = None) -> DataFrame:
+    """(case_id, status) of the monitor that b must come within limit_us of the first a.
+
+    satisfied, violated, impossible (b takes at least ``least_us`` more, which is more than is left), at_risk (over four
+    fifths of the time gone) or ticking; cases without a have none.
     """
     one = log.groupBy("case_id").agg(F.min(_at(a)).alias("x"), F.min(_at(b)).alias("y")).filter("x is not null")
     gone = F.lit(now_us) - F.col("x")
-    value = F.when(F.col("y") - F.col("x") <= limit_us, "satisfied").when(F.col("y").isNotNull() | (gone > limit_us), "violated").when(gone * 5 > limit_us * 4, "at_risk").otherwise("ticking")
+    value = F.when(F.col("y") - F.col("x") <= limit_us, "satisfied").when(F.col("y").isNotNull() | (gone > limit_us), "violated")
+    if least_us is not None:
+        value = value.when(gone + least_us > limit_us, "impossible")
+    value = value.when(gone * 5 > limit_us * 4, "at_risk").otherwise("ticking")
     return one.select("case_id", value.alias("status"))

@@ -32,6 +32,19 @@ def capped(edges: DataFrame, cap: int) -> DataFrame:
     return edges.join(few, "key", "left_semi")
 
 
+def windowed(edges: DataFrame, time: str, start: str, end: str, cap: int) -> DataFrame:
+    """The distinct edges of a time window, of keys that at most ``cap`` events of the window share."""
+    inside = edges.filter((F.col(time) >= F.lit(start).cast("timestamp_ntz")) & (F.col(time) < F.lit(end).cast("timestamp_ntz")))
+    return capped(inside.select("event_id", "key").distinct(), cap)
+
+
+def weighted_stitch(links: DataFrame, least: float) -> DataFrame:
+    """(event_id, journey_id) over the links (a, b, weight) of at least a weight; ends of lighter links only are left out."""
+    heavy = links.filter(F.col("weight") >= least)
+    name = F.concat_ws("\u0000", "a", "b")
+    return stitch(heavy.select(F.explode(F.array("a", "b")).alias("event_id"), name.alias("key")))
+
+
 def _contracted(edges: DataFrame) -> DataFrame:
     """(u, root) for every end of the edges (a, b), all of which have a < b: ends with one root are connected.
 

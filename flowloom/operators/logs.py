@@ -71,6 +71,48 @@ def at_level(df: DataFrame, level: int) -> DataFrame:
     return df.withColumn("activity", F.col(f"level_{level}")).filter("activity is not null")
 
 
+def case_events(df: DataFrame, case: str, events: str) -> DataFrame:
+    """P5: one row for each non-null element of a case's array of event structs, with the case."""
+    return df.select(F.col(case), F.explode(events).alias("__e")).filter("__e is not null").select(case, "__e.*")
+
+
+def leveled(df: DataFrame, children: str) -> DataFrame:
+    """(.., level_1, level_2, level_3): a row for each record, child and grandchild, with the activities above it.
+
+    Records keep their other columns, which their descendants inherit; null elements give no row. The rows of a record
+    leave its task one by one.
+    """
+    def row(a, b, c):
+        return F.struct(a.cast("string").alias("level_1"), b.cast("string").alias("level_2"), c.cast("string").alias("level_3"))
+
+    top, none = F.col("activity"), F.lit(None)
+
+    def below(x):
+        own = F.array(row(top, x["activity"], none))
+        deeper = F.transform(F.filter(F.coalesce(x[children], F.array()), lambda y: y.isNotNull()), lambda y: row(top, x["activity"], y["activity"]))
+        return F.concat(own, deeper)
+
+    rest = F.flatten(F.transform(F.filter(F.coalesce(children, F.array()), lambda x: x.isNotNull()), below))
+    every = F.concat(F.array(row(top, none, none)), rest)
+    return df.withColumn("__l", F.explode(every)).select(*[c for c in df.columns if c != children], "__l.*")
+
+
+def top_level(df: DataFrame) -> DataFrame:
+    """L2: the rows that no finer level has a value for."""
+    return df.filter("level_2 is null and level_3 is null")
+
+
+def with_attribute(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
+    """The events whose attribute is one of some values."""
+    return df.filter(F.col(column).isin(*values))
+
+
+def drill_down(df: DataFrame, coarse: str, activity: str, fine: str) -> DataFrame:
+    """The rows that have the fine level, of the cases that hold a coarse activity."""
+    cases = df.filter(F.col(coarse) == activity).select("case_id").distinct()
+    return df.filter(F.col(fine).isNotNull()).join(cases, "case_id", "left_semi")
+
+
 def abstracted(log: DataFrame, mapping: DataFrame) -> DataFrame:
     """Child labels become their parent's; unmapped ones stay. mapping: child (unique), parent."""
     named = mapping.select(F.col("child").alias("__child"), F.col("parent").alias("__parent"))
@@ -250,3 +292,9 @@ def hierarchy_counts(df: DataFrame, levels: Sequence[str]) -> DataFrame:
 def trend(log: DataFrame, width: str = "week") -> DataFrame:
     """Events and cases by calendar period."""
     return log.groupBy(F.date_trunc(width, F.timestamp_micros("us")).cast("date").cast("string").alias("period")).agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("case_id").alias("n_cases"))
+
+
+def recent(log: DataFrame, days: int) -> DataFrame:
+    """The events of the last days before the newest one."""
+    newest = log.agg(F.max("us").alias("__newest"))
+    return log.crossJoin(F.broadcast(newest)).filter(F.col("us") > F.col("__newest") - F.lit(days) * 86_400_000_000).drop("__newest")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions import ranks
+from flowloom.session import cut
 
 
 def gamma_upper(a: float, x: float) -> float:
@@ -60,6 +61,7 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, shares: Se
     j = below.join(total, reduce(Column.__and__, on)) if on else below.crossJoin(F.broadcast(total))
     at = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("__n")), F.col("__v")))
     places = [F.lit(s) * (F.col("__total") - 1) for s in shares]
+    places = [F.least(k, F.col("__total") - 1) for k in places]
     q = j.groupBy(*groups).agg(*[x for i, k in enumerate(places) for x in (at(F.floor(k)).alias(f"__lo{i}"), at(F.ceil(k)).alias(f"__hi{i}"), F.max(k - F.floor(k)).alias(f"__part{i}"))])
     return q.select(*groups, *[(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__part{i}")).alias(f"q{i}") for i in range(len(shares))])
 
@@ -204,7 +206,7 @@ def isolation_forest(df: DataFrame, key: str, columns: Sequence[str], trees: int
     return df.select(key, *columns).fillna(0, list(columns)).mapInPandas(score, f"{key} {df.schema[key].dataType.simpleString()}, score double")
 
 
-#: Distinct value pairs that a rank correlation by pairs, and groups that pairwise comparisons take on the driver.
+#: Distinct value pairs whose discordant pairs one task counts, and groups that pairwise comparisons take on the driver.
 KENDALL_PAIRS, TUKEY_GROUPS = 200_000, 500
 
 
@@ -219,17 +221,143 @@ def _swaps(y: np.ndarray, w: np.ndarray) -> float:
     return total + float((w[m:] * (weights[-1] - weights[np.searchsorted(left, y[m:], side="right")])).sum())
 
 
+def _in_ranges(counts: DataFrame, column: str, size: int, out: str) -> DataFrame:
+    """(column, out): the number of the range of about ``size`` rows in which a value lies; a value of more rows has a
+    range, with an odd number, of its own."""
+    each = counts.groupBy(column).agg(F.count(F.lit(1)).alias("m"))
+    below = ranks.running(each, [column], F.col("m"))
+    return below.select(column, (2 * F.floor(F.col("below") / size) + (F.col("m") > size).cast("int")).alias(out))
+
+
+def _discordant(counts: DataFrame, rows: int) -> float:
+    """The weighted number of discordant pairs of rows (x, y, n), x and y distinct together.
+
+    Few rows are counted in one task. Many are cut into ranges of x and of y: pairs within a range of x are counted
+    there, pairs of different ranges of x within a range of y there, and all others are discordant as their ranges are,
+    which is the same question on far fewer rows.
+    """
+
+    def swapped(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y"])
+        return pd.DataFrame({"d": [_swaps(pdf["y"].to_numpy(float), pdf["n"].to_numpy(float))]})
+
+    if rows <= KENDALL_PAIRS:
+        one = counts.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "n")
+        return float(one.groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: swapped(pdf[["x", "y", "n"]]), "d double").agg(F.coalesce(F.sum("d"), F.lit(0.0))).first()[0])
+    size = max(KENDALL_PAIRS // 4, int(4 * math.sqrt(rows)))
+    placed = cut(counts.join(_in_ranges(counts, "x", size, "p"), "x").join(_in_ranges(counts, "y", size, "q"), "y"))
+    # a value with a range of its own has no discordant pairs within it
+    numeric = lambda df, *c: df.select(*[F.col(k).cast("double").alias(n) for k, n in zip(c, "xy")], "n", *c[2:])
+    by_x = numeric(placed.filter("p % 2 = 0"), "x", "y", "p").groupBy("p").applyInPandas(lambda pdf: swapped(pdf[["x", "y", "n"]]), "d double")
+    by_y = numeric(placed.filter("q % 2 = 0"), "p", "y", "q").groupBy("q").applyInPandas(lambda pdf: swapped(pdf[["x", "y", "n"]]), "d double")
+    inside = float(by_x.unionByName(by_y).agg(F.coalesce(F.sum("d"), F.lit(0.0))).first()[0])
+    coarse = cut(placed.groupBy(F.col("p").alias("x"), F.col("q").alias("y")).agg(F.sum("n").alias("n")))
+    return inside + _discordant(coarse, coarse.count())
+
+
 def kendall(df: DataFrame, x: str, y: str) -> float | None:
-    """Kendall's tau-b from counts of distinct pairs; more than KENDALL_PAIRS of them are refused. Null if constant."""
-    counts = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("n")).limit(KENDALL_PAIRS + 1).toPandas()
-    if len(counts) > KENDALL_PAIRS:
-        raise ValueError(f"more than {KENDALL_PAIRS} distinct pairs")
-    counts = counts.sort_values([x, y])
-    n = counts["n"].to_numpy(float)
-    pairs = lambda v: float((v * (v - 1) / 2).sum())
-    every, tx, ty, txy = pairs(np.array([n.sum()])), pairs(counts.groupby(x)["n"].sum().to_numpy(float)), pairs(counts.groupby(y)["n"].sum().to_numpy(float)), pairs(n)
+    """Kendall's tau-b from counts of distinct pairs, exact for any number of them. Null if a column is constant."""
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    counts = cut(known.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n")))
+    pairs = F.coalesce(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2), F.lit(0.0))
+    tied = lambda *by: float(counts.groupBy(*by).agg(F.sum("n").alias("n")).agg(pairs).first()[0])
+    every, tx, ty, txy = tied(), tied("x"), tied("y"), tied("x", "y")
     scale = math.sqrt((every - tx) * (every - ty))
-    return None if not scale else (every - tx - ty + txy - 2 * _swaps(counts[y].to_numpy(float), n)) / scale
+    return None if not scale else (every - tx - ty + txy - 2 * _discordant(counts, counts.count())) / scale
+
+
+def _beta_part(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_part(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
+    h = d
+    for m in range(1, 10_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + step * d or 1e-300)
+            c = 1 + step / c or 1e-300
+            h *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return front * h
+
+
+def correlation_p(r: float | None, n: int) -> float | None:
+    """Two-sided p of a correlation of n pairs by Student's t; null where it has none."""
+    if r is None or n < 3:
+        return None
+    if abs(r) >= 1:
+        return 0.0
+    t2 = r * r * (n - 2) / (1 - r * r)
+    return _beta_part((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
+
+
+def f_survival(f: float | None, d1: int, d2: int) -> float | None:
+    """O3: p of an F statistic."""
+    return None if f is None or d1 < 1 or d2 < 1 else _beta_part(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
+
+
+def significant(df: DataFrame, groups: Sequence[str], value: str, level: float = 0.05) -> list[tuple[str, float | None, bool]]:
+    """O2: (variable, p, chosen) by Kruskal-Wallis; if no variable is significant all are chosen."""
+    found = [(g, kruskal_wallis(df, g, value).first()["p"]) for g in groups]
+    hits = [p is not None and p < level for _, p in found]
+    return [(g, p, hit or not any(hits)) for (g, p), hit in zip(found, hits)]
+
+
+def chi2_quantile(share: float, dof: int) -> float:
+    """The value that a chi-squared variable exceeds with probability 1 - share, by bisection."""
+    low, high = 0.0, 10.0 * dof + 100
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi2_survival(middle, dof) > 1 - share else (low, middle)
+    return (low + high) / 2
+
+
+def robust_mahalanobis(df: DataFrame, columns: Sequence[str], share: float = 0.75, rounds: int = 10, cutoff: float = 0.999) -> DataFrame:
+    """Squared distances (d2) under a robust covariance, and ``outlier`` where they exceed the chi-squared cut-off.
+
+    Concentration steps: means and covariance of the ``share`` of rows with the smallest distances, until these no
+    longer change the determinant; the covariance is then scaled so that the median distance is that of normal rows.
+    Each step is one exact quantile and one aggregation over all rows. Rows with a null have none.
+    """
+    known = df.filter(" and ".join(f"`{c}` is not null" for c in columns))
+    mean, cov = _moments(known, columns)
+    before = None
+
+    def squared(mean: np.ndarray, cov: np.ndarray, scale: float = 1.0):
+        inverse = np.linalg.pinv(cov) / scale
+        parts = [F.lit(float(inverse[i, j])) * (F.col(a) - float(mean[i])) * (F.col(b) - float(mean[j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+        return sum(parts[1:], parts[0])
+
+    for _ in range(rounds):
+        scored = known.select(*columns, squared(mean, cov).alias("__d2"))
+        bound = exact_quantiles(scored, [], "__d2", (share,)).first()
+        if bound is None or bound["q0"] is None:
+            return df.withColumn("d2", F.lit(None).cast("double")).withColumn("outlier", F.lit(None).cast("boolean"))
+        mean, cov = _moments(scored.filter(F.col("__d2") <= bound["q0"]), columns)
+        determinant = float(np.linalg.det(cov))
+        if before is not None and determinant >= before * (1 - 1e-9):
+            break
+        before = determinant
+    median = exact_quantiles(known.select(squared(mean, cov).alias("__d2")), [], "__d2", (0.5,)).first()["q0"]
+    scale = median / chi2_quantile(0.5, len(columns)) if median else 1.0
+    out = df.withColumn("d2", squared(mean, cov, scale))
+    return out.withColumn("outlier", F.col("d2") > chi2_quantile(cutoff, len(columns)))
+
+
+def isolation_outliers(scores: DataFrame, contamination: float = 0.01) -> DataFrame:
+    """Adds ``outlier`` to scores: the share ``contamination`` of rows with the highest ones."""
+    bound = exact_quantiles(scores, [], "score", (1 - contamination,)).select(F.col("q0").alias("__bound"))
+    return scores.crossJoin(F.broadcast(bound)).withColumn("outlier", F.col("score") > F.col("__bound")).drop("__bound")
+
+
+def far_from_group_mean(df: DataFrame, group: str, value: str, k: float = 3.0) -> DataFrame:
+    """The rows more than k deviations from their own group's mean, each group judged by itself."""
+    m = df.groupBy(F.col(group).alias("__g")).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
+    return df.join(m, F.col(group).eqNullSafe(F.col("__g"))).filter(F.abs(F.col(value) - F.col("__m")) > k * F.col("__s")).drop("__g", "__m", "__s")
 
 
 def studentised_range_survival(q: float, k: int, dof: float) -> float:

@@ -174,3 +174,25 @@ def with_custom(log: DataFrame, name: str, activities: list[str]) -> DataFrame:
     spark = log.sparkSession
     own = spark.createDataFrame([(name, a, i, i) for i, a in enumerate(activities)], "case_id string, activity string, event_id bigint, us bigint")
     return log.select("case_id", "activity", "event_id", "us").unionByName(own)
+
+
+def by_names(cases: DataFrame, numbered_variants: DataFrame, names: list[str]) -> DataFrame:
+    """The cases of variants by their names; a name that no variant has is an error."""
+    chosen = numbered_variants.filter(F.col("name").isin(*names))
+    missing = set(names) - {r[0] for r in chosen.select("name").collect()}
+    if missing:
+        raise ValueError(f"no variants called {sorted(missing)}")
+    return cases.join(chosen, "variant")
+
+
+def objects(vs: DataFrame) -> DataFrame:
+    """V5: per variant its count, length, number of activities, share and cluster, -1 as none is assigned."""
+    return vs.select("variant", F.col("frequency").alias("n"), "length", F.size(F.array_distinct(F.split("variant", SEP))).alias("n_activities"), "pct", F.lit(-1).alias("cluster_id"))
+
+
+def properties(log: DataFrame) -> DataFrame:
+    """V7: one row on the whole log: events, cases, variants, activities, time span and lengths of cases."""
+    cases = with_variant(log).select("variant", F.size("activities").alias("n"))
+    one = cases.agg(F.count(F.lit(1)).alias("n_cases"), F.count_distinct("variant").alias("n_variants"), F.max("n").alias("longest"), F.avg("n").alias("avg_length"))
+    every = log.agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("activity").alias("n_activities"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
+    return every.crossJoin(one)

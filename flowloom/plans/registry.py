@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from flowloom.plans import graphs, models, process, relations, training
+from flowloom.plans import catalog, graphs, models, outliers, process, relations, training
 
 
 def modules() -> list[ModuleType]:
-    return [process, graphs, relations, models, training]
+    return [process, graphs, relations, models, catalog, outliers, training]

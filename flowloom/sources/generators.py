@@ -55,3 +55,21 @@ def cases_with_outliers(spark: SparkSession, cases: int, every: int = 50, seed:
     v = sum((_pick(seed, 30 + i, 1_000_000, F.col("id")) / 1_000_000 for i in range(12)), F.lit(-6.0))
     bad = F.col("id") % every == 0
     return spark.range(cases).select("id", F.concat(F.lit("m"), _pick(seed, 9, 4, F.col("id")).cast("string")).alias("market"), (100 + 10 * u + F.when(bad, 150).otherwise(0)).alias("time_taken"), (20 + 3 * v + F.when(bad, 60).otherwise(0)).alias("frequency"), bad.alias("is_outlier"))
+
+
+def app_chains(spark: SparkSession, journeys: int, apps: int) -> DataFrame:
+    """(event_id, app, correlation_keys, truth): one journey through all applications, each event with one key of
+    its own and the one that it hands on."""
+    e = spark.range(journeys * apps).select((F.col("id") / apps).cast("bigint").alias("j"), (F.col("id") % apps).alias("i"))
+    name = lambda i: F.concat_ws(":", F.lit("hop"), F.col("j").cast("string"), i.cast("string"))
+    keys = F.array_compact(F.array(name(F.col("i")), F.when(F.col("i") + 1 < apps, name(F.col("i") + 1))))
+    return e.select(F.concat_ws("-", F.lpad(F.col("j").cast("string"), 9, "0"), F.lpad(F.col("i").cast("string"), 3, "0")).alias("event_id"), F.concat(F.lit("app_"), F.col("i").cast("string")).alias("app"), keys.alias("correlation_keys"), F.col("j").alias("truth"))
+
+
+def filled(df: DataFrame, template: str, values: dict[str, Column], out: str = "text") -> DataFrame:
+    """Adds a template's text with its {names} replaced by columns, also inside values that are templates themselves."""
+    text = F.lit(template)
+    for _ in range(2):
+        for name, value in values.items():
+            text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+    return df.withColumn(out, text)

@@ -53,6 +53,44 @@ def read_bpmn(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, flows.select(F.col("_sourceRef").alias("source"), F.col("_targetRef").alias("target"))
 
 
+def read_bpmn_parameters(spark: SparkSession, path: str) -> DataFrame:
+    """(id, direction, name, value) of the input and output parameters of all kinds of tasks in a BPMN file."""
+    parameter = ArrayType(StructType([StructField("_name", StringType()), StructField("_VALUE", StringType())]))
+    inout = StructType([StructField("camunda:inputParameter", parameter), StructField("camunda:outputParameter", parameter)])
+    one = StructType([StructField("_id", StringType()), StructField("bpmn:extensionElements", StructType([StructField("camunda:inputOutput", inout)]))])
+    out = None
+    for k in ("task", "userTask", "serviceTask"):
+        rows = spark.read.format("xml").option("rowTag", f"bpmn:{k}").schema(one).load(path)
+        io = F.col("`bpmn:extensionElements`.`camunda:inputOutput`")
+        for direction in ("input", "output"):
+            part = rows.select(F.col("_id").alias("id"), F.lit(direction).alias("direction"), F.explode(io[f"camunda:{direction}Parameter"]).alias("p"))
+            part = part.select("id", "direction", F.col("p._name").alias("name"), F.col("p._VALUE").alias("value"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: How stores name the parts of an edge: start, type and end, each end with a label and an id.
+EDGE_LAYOUTS = {
+    "json": ("start.label", "start.id", "type", "end.label", "end.id"),
+    "jdbc": ("src_label", "src", "label", "dst_label", "dst"),
+    "org.neo4j.spark.DataSource": ("`<source.labels>`[0]", "`source.id`", "`<rel.type>`", "`<target.labels>`[0]", "`target.id`"),
+    "org.apache.spark.sql.cassandra": ("src_label", "src", "label", "dst_label", "dst"),
+}
+
+
+def read_edges(spark: SparkSession, format: str, options: dict[str, str]) -> DataFrame:
+    """(src_label, src, label, dst_label, dst) of a store's relationships, by the connector's format and options.
+
+    The parts are taken by the layout of the connector; filters on them go down with its scan. JDBC scans are split by
+    the options partitionColumn, lowerBound, upperBound and numPartitions. A format without a layout is an error.
+    """
+    if format not in EDGE_LAYOUTS:
+        raise ValueError(f"no edge layout for {format}")
+    raw = spark.read.format(format).options(**options).load()
+    names = ("src_label", "src", "label", "dst_label", "dst")
+    return raw.select(*[F.expr(e).cast("string").alias(n) for e, n in zip(EDGE_LAYOUTS[format], names)])
+
+
 def read_pnml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(places, transitions, arcs) of a PNML file."""
     named = StructType([StructField("_id", StringType()), StructField("name", StructType([StructField("text", StringType())]))])

@@ -31,12 +31,16 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
     """Append the rows whose key a Parquet table lacks; returns how many. The first call makes the table."""
     spark = df.sparkSession
     new = df.dropDuplicates(keys)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if exists(spark, path):
         new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
     new = new.persist()
     n = new.count()
