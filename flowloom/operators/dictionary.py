@@ -6,25 +6,38 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.session import cut
+
 
 def normalised(name: str) -> str:
     """Camel, snake and kebab case as lower-case words."""
     return " ".join(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).replace("_", " ").replace("-", " ").lower().split())
 
 
+def normal_form(name: Column) -> Column:
+    """X4 as an expression: camel case parted, all else than letters and digits one blank, lower case."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2")), "[^a-z0-9]+", " "))
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence; a row of the matrix is the bits of one number."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hits = row & places.get(c, 0)
+        row = ((row + hits) | (row - hits)) & full
+    return len(a) - row.bit_count()
+
+
 def ratio(a: str, b: str) -> float:
     """100 times twice the longest common subsequence over both lengths."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return 200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
 def partial_ratio(a: str, b: str) -> float:
@@ -57,40 +70,62 @@ def score(a: str, b: str) -> float:
     return 0.3 * ratio(a, b) + 0.3 * partial_ratio(a, b) + 0.2 * by_sort + 0.2 * by_set
 
 
-def match(queries: DataFrame, entries: DataFrame, min_score: float = 60.0, top_k: int = 5, limit: int = 10_000) -> DataFrame:
+def _scored(values: list[str], listed: list[tuple[str, str]], min_score: float) -> pd.DataFrame:
+    exact: dict[str, tuple[str, str]] = {}
+    for p, n in listed:
+        exact.setdefault(n.lower(), (p, n))
+    forms = [(p, n, normalised(n)) for p, n in listed]
+    rows = []
+    for q in values:
+        if q.lower() in exact:
+            rows.append((q, *exact[q.lower()], 100.0, True))
+            continue
+        best: dict[str, tuple[float, str]] = {}
+        own = normalised(q)
+        for p, n, f in forms:
+            s = score(own, f)
+            if s >= min_score and (p not in best or s > best[p][0]):
+                best[p] = (s, n)
+        rows += [(q, p, n, s, False) for p, (s, n) in best.items()]
+    return pd.DataFrame(rows, columns=["query", "preferred_name", "matched", "score", "exact"])
+
+
+def match(queries: DataFrame, entries: DataFrame, min_score: float = 60.0, top_k: int = 5, block: int = 10_000) -> DataFrame:
     """(query, preferred_name, matched, score, rank): the best entries of each distinct query.
 
     A query that equals a name or alias, whatever its case, gives that entry alone with 100. Others are scored against
-    all names; each entry keeps its best. The dictionary travels with the function up to ``limit`` names and is refused
-    beyond, as it is meant to be small. Null queries are left out; an empty dictionary gives no rows.
+    all names; each entry keeps its best. Up to ``block`` names, counted, travel with the function; of more, every query
+    meets each block of names in a task of its own, and the blocks' results are merged. Null queries are left out; an
+    empty dictionary gives no rows.
     """
-    names = entries.select("preferred_name", F.explode(F.concat(F.array("preferred_name"), F.coalesce("aliases", F.array()))).alias("name")).filter("name is not null")
-    listed = [tuple(r) for r in names.orderBy("preferred_name", "name").limit(limit + 1).collect()]
-    if len(listed) > limit:
-        raise ValueError(f"more than {limit} names")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        exact: dict[str, tuple[str, str]] = {}
-        for p, n in listed:
-            exact.setdefault(n.lower(), (p, n))
-        forms = [(p, n, normalised(n)) for p, n in listed]
-        for pdf in batches:
-            rows = []
-            for q in pdf["query"]:
-                if q.lower() in exact:
-                    rows.append((q, *exact[q.lower()], 100.0))
-                    continue
-                best: dict[str, tuple[float, str]] = {}
-                for p, n, f in forms:
-                    s = score(normalised(q), f)
-                    if s >= min_score and (p not in best or s > best[p][0]):
-                        best[p] = (s, n)
-                rows += [(q, p, n, s) for p, (s, n) in best.items()]
-            yield pd.DataFrame(rows, columns=["query", "preferred_name", "matched", "score"])
-
-    found = queries.select("query").filter("query is not null").distinct().mapInPandas(run, "query string, preferred_name string, matched string, score double")
+    names = cut(entries.select("preferred_name", F.explode(F.concat(F.array("preferred_name"), F.coalesce("aliases", F.array()))).alias("name")).filter("name is not null"))
+    asked = queries.select("query").filter("query is not null").distinct()
+    schema = "query string, preferred_name string, matched string, score double, exact boolean"
+    if (n := names.count()) <= block:
+        listed = [tuple(r) for r in names.orderBy("preferred_name", "name").collect()]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield _scored(list(pdf["query"]), listed, min_score)
+
+        found = asked.mapInPandas(run, schema)
+    else:
+        parts = n // block + 1
+        shard = names.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        every = asked.withColumn("copy", F.pmod(F.xxhash64("query"), F.lit(16)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+        def search(own: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+            return _scored(list(values["query"]), sorted(zip(own["preferred_name"], own["name"])), min_score)
+
+        found = shard.groupBy("part", "copy").cogroup(every.groupBy("part", "copy")).applyInPandas(search, schema)
+        # an exact name anywhere stands alone, the smallest entry first; of an entry found in several blocks the best stays
+        w = Window.partitionBy("query")
+        found = found.withColumn("any", F.bool_or("exact").over(w)).filter("exact or not any").withColumn("first", F.min(F.when(F.col("exact"), F.struct("preferred_name", "matched"))).over(w))
+        found = found.filter("not exact or (preferred_name = first.preferred_name and matched = first.matched)")
+        best = F.row_number().over(Window.partitionBy("query", "preferred_name").orderBy(F.desc("score"), "matched"))
+        found = found.withColumn("best", best).filter(F.col("best") == 1)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "preferred_name"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= top_k)
+    return found.select("query", "preferred_name", "matched", "score").withColumn("rank", rank).filter(F.col("rank") <= top_k)
 
 
 def add_aliases(entries: DataFrame, new: DataFrame) -> DataFrame:

@@ -34,8 +34,9 @@ def delete_keys(target: DataFrame, gone: DataFrame, keys: Sequence[str]) -> Data
 
 
 def overlapping(a: DataFrame, b: DataFrame, key: str, values: str, placeholders: DataFrame | None = None) -> DataFrame:
-    """Pairs of rows whose arrays share an element, through the elements, never by comparing all pairs.
+    """Pairs of rows whose arrays share an element, through the elements; rows that share none are not compared.
 
+    Every such pair is a row of the result, so an element that n rows of either side hold gives n * n rows.
     Elements that are one of ``placeholders`` (placeholder), case, quotes and blanks around them ignored, link nothing.
     """
 
@@ -48,6 +49,14 @@ def overlapping(a: DataFrame, b: DataFrame, key: str, values: str, placeholders:
     return elements(a, "a").join(elements(b, "b"), "v").select("a", "b").distinct()
 
 
+def payload_fields(df: DataFrame, payload: str, fields: dict[str, str]) -> DataFrame:
+    """The rows whose payload is one JSON object, with some of its fields as typed columns, null where they are
+    missing or of another type; the payload goes."""
+    v = F.try_parse_json(payload)
+    rows = df.withColumn("__v", v).filter(F.schema_of_variant("__v").startswith("OBJECT"))
+    return rows.select(*[c for c in df.columns if c != payload], *[F.try_variant_get("__v", f"$.{f}", t).alias(f) for f, t in fields.items()])
+
+
 def combined_groups(counts: DataFrame, group: str, value: str) -> DataFrame:
     """Totals and share in per cent of each group."""
     one = counts.groupBy(group).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))

@@ -386,6 +386,34 @@ def d9(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted(conformance.without_cycles((r.src, r.dst) for r in rows)), "src string, dst string")
 
 
+def _order_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Order kinds before return flags before line states, these two also the other way round for large quantities."""
+    o, li = load(spark, d, "orders"), load(spark, d, "lineitem")
+    flag, state = F.concat(F.lit("r:"), "l_returnflag"), F.concat(F.lit("s:"), "l_linestatus")
+    kinds = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("o:"), "o_orderstatus").alias("src"), flag.alias("dst"))
+    return kinds.union(li.select(flag, state)).union(li.filter("l_quantity > 49 and l_returnflag = 'N'").select(state, flag)).distinct()
+
+
+_ORDER_EDGES = """e as (select distinct 'o:' || o_orderstatus as src, 'r:' || l_returnflag as dst from orders join lineitem on o_orderkey = l_orderkey union select 'r:' || l_returnflag, 's:' || l_linestatus from lineitem
+  union select 's:' || l_linestatus, 'r:' || l_returnflag from lineitem where l_quantity > 49 and l_returnflag = 'N')"""
+
+
+@query("d10_one_way_edges", f"with {_ORDER_EDGES} select * from e where not exists (select 1 from e b where b.src = e.dst and b.dst = e.src)")
+def d10(spark: SparkSession, d: str) -> DataFrame:
+    return dfg.without_reversed(_order_edges(spark, d))
+
+
+@query("d2_alpha_places", f"""with {_ORDER_EDGES}, c as (select * from e where not exists (select 1 from e b where b.src = e.dst and b.dst = e.src)) select count(distinct src || dst) as n_causal, (select count(*) from e) as n_edges from c""")
+def d2(spark: SparkSession, d: str) -> DataFrame:
+    """Every causal pair is in some place of the alpha net, and no place holds another pair."""
+    edges = cut(_order_edges(spark, d))
+    rows = dfg.footprint(edges).collect()  # a bounded alphabet
+    relations = {(r.src, r.dst): r.relation for r in rows}
+    pairs = conformance.alpha_pairs(relations, sorted({a for p in relations for a in p}))
+    held = {(x, y) for a, b in pairs for x in a for y in b}
+    return spark.createDataFrame([(len(held), edges.count())], "n_causal bigint, n_edges bigint")
+
+
 @query("d5_trace_orders", f"with {LOG}, {NEXT} select case_id, activity as src, next_activity as dst, us as src_us from nx where next_activity is not null")
 def d5(spark: SparkSession, d: str) -> DataFrame:
     """The edges of every trace's own order."""

@@ -111,6 +111,16 @@ def g23(spark: SparkSession, d: str) -> DataFrame:
     return graph.validate(g12(spark, d), g1(spark, d))
 
 
+@query("g23_validate_cases", _WCC + """, c as (select lpad(cast(event_id as varchar), 9, '0') as event_id, user_id || '|' || strftime(ts, '%Y-%m-%d') as e from events where event_id > 20), p as (select distinct journey_id as f, e from j join c using (event_id)),
+b as (select j.event_id as f, c.event_id as e from j full join c using (event_id))
+select (select count(*) from (select e from p group by e having count(*) > 1)) as split, (select count(*) from (select f from p group by f having count(*) > 1)) as merged, (select count(*) from b where f is null) as missing, (select count(*) from b where e is null) as unexpected""")
+def g23b(spark: SparkSession, d: str) -> DataFrame:
+    """The journeys against the cases of a user and day, of which the first twenty events are not known."""
+    e = load(spark, d, "events").filter("event_id > 20")
+    cases = e.select(F.lpad(F.col("event_id").cast("string"), 9, "0").alias("event_id"), F.concat_ws("|", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("journey_id"))
+    return graph.validate(_journeys(spark, d), cases)
+
+
 @query("g19_first_last", "select app_name, event_id, min(epoch_us(created_at)) as first_us, max(epoch_us(created_at)) as last_us from journey_events group by 1, 2")
 def g19(spark: SparkSession, d: str) -> DataFrame:
     us = F.unix_micros(F.col("created_at").cast("timestamp"))

@@ -241,11 +241,11 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_xes(spark, at).select("case_id", "event_no", "activity", F.floor(F.col("us") / 1000).alias("ms"))
 
 
-@query("s2_k2_csv_round_trip", "select row_id, case_id, amount from sample_logs")
+@query("s2_k2_csv_round_trip", "select row_id, case_id, \"timestamp\", activity, amount from sample_logs")
 def s2(spark: SparkSession, d: str) -> DataFrame:
     at = f"{_place(spark)}-csv"
-    writers.write_csv(load(spark, d, "sample_logs").select("row_id", "case_id", "amount"), at)
-    return readers.read_csv(spark, at, "row_id bigint, case_id string, amount double")
+    writers.write_csv(load(spark, d, "sample_logs").select("row_id", "case_id", "timestamp", "activity", "amount"), at)
+    return readers.read_csv(spark, at, "row_id bigint, case_id string, timestamp string, activity string, amount double")
 
 
 @query("k18_incremental_append", "select count(distinct event_id) as n from journey_events")
@@ -256,16 +256,15 @@ def k18(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(at).agg(F.count("event_id").alias("n"))
 
 
-@query("k20_versions", "select preferred_name, 1 as n_aliases from dictionary_entries")
+@query("k20_versions", "select preferred_name, len(aliases) as first, len(list_distinct(list_concat(aliases, ['v2']))) as newest from dictionary_entries")
 def k20(spark: SparkSession, d: str) -> DataFrame:
+    """The number of aliases in the first and in the newest of two versions."""
     at, e = f"{_place(spark)}-versions", load(spark, d, "dictionary_entries")
-    writers.write_version(e.select("preferred_name", F.size("aliases").alias("n_aliases")), at, 1)
-    writers.write_version(e.select("preferred_name", F.lit(1).alias("n_aliases")), at, 2)
-    return readers_version(spark, at)
-
-
-def readers_version(spark: SparkSession, at: str) -> DataFrame:
-    return writers.read_version(spark, at)
+    new = e.select("preferred_name", F.lit("v2").alias("alias"))
+    writers.write_version(e.select("preferred_name", "aliases"), at, 1)
+    writers.write_version(dictionary.add_aliases(e, new).select("preferred_name", "aliases"), at, 2)
+    n = lambda v, name: writers.read_version(spark, at, v).select("preferred_name", F.size("aliases").cast("long").alias(name))
+    return n(1, "first").join(n(None, "newest"), "preferred_name")
 
 
 @query("c9_snapshot")
@@ -314,11 +313,13 @@ def r2(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("case_id").agg(F.max_by("passing", "n_events").alias("passing"), F.max("n_events").alias("n_events"))
 
 
-@query("r7_stream_monitor", f"with {LOG} select case_id, count(*) as n_events from log group by 1 having min(us) filter (activity = 'view') is not null")
+@query("r7_stream_monitor", f"""with {LOG}, c as (select case_id, min(us) filter (activity = 'view') as f, max(us) filter (activity = 'purchase') as l, max(us) as seen from log group by 1 having f is not null),
+e as (select *, case when l >= f then l else seen end - f as elapsed_us from c) select case_id, case when elapsed_us > {2 * H} then 'violated' when l >= f then 'satisfied' else 'ticking' end as status, elapsed_us from e""")
 def r7s(spark: SparkSession, d: str) -> DataFrame:
+    """What the monitor last said of each case."""
     rows = streams.finished(streams.first_to_last_monitor(_stream_of_events(spark, d), "view", "purchase", 2 * H), "update")
-    seen = rows.filter("status <> 'idle'").select("case_id").distinct()
-    return log_day(spark, d).join(seen, "case_id", "left_semi").groupBy("case_id").agg(F.count(F.lit(1)).alias("n_events"))
+    last = rows.groupBy("case_id").agg(F.max_by(F.struct("status", "elapsed_us"), "n_events").alias("x"))
+    return last.select("case_id", "x.*").filter("status <> 'idle'")
 
 
 @query("r15_late_bridges", f"with recursive {EDGES}, l as (select distinct a.event_id as u, b.event_id as v from e a join e b using (key)), r as (select u, v from l union select r.u, l.v from r join l on r.v = l.u) select u as event_id, min(v) as journey_id from r group by u")

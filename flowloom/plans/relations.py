@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.operators import relational, stats
+from flowloom.operators import dictionary, relational, stats
 from flowloom.plans.views import CASES, LOG, log_day
 from flowloom.session import load
 
@@ -192,8 +192,7 @@ def t7(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x4_normalised_names", "select distinct raw_name, trim(regexp_replace(lower(regexp_replace(raw_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+', ' ', 'g')) as normal from observed_fields where raw_name is not null")
 def x4(spark: SparkSession, d: str) -> DataFrame:
-    camel = F.regexp_replace("raw_name", "([a-z0-9])([A-Z])", "$1 $2")
-    return load(spark, d, "observed_fields").filter("raw_name is not null").select("raw_name", F.trim(F.regexp_replace(F.lower(camel), "[^a-z0-9]+", " ")).alias("normal")).distinct()
+    return load(spark, d, "observed_fields").filter("raw_name is not null").select("raw_name", dictionary.normal_form(F.col("raw_name")).alias("normal")).distinct()
 
 
 @query("x6_truncated", "select distinct activity, case when length(activity) > 10 then left(activity, 8) || '...' else activity end as short from sample_logs where activity is not null")
@@ -202,11 +201,9 @@ def x6(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "sample_logs").filter(a.isNotNull()).select(a, F.when(F.length(a) > 10, F.concat(F.left(a, F.lit(8)), F.lit("..."))).otherwise(a).alias("short")).distinct()
 
 
-@query("p17_payload_fields", "select event_id, regexp_extract(payload, '\"app\": *\"([^\"]*)\"', 1) as app, try_cast(regexp_extract(payload, '\"step\": *([0-9]+)', 1) as integer) as step from journey_events where payload like '%\"step\": %' and payload like '%\"app\": %'")
+@query("p17_payload_fields", "select event_id, json_extract_string(payload, '$.app') as app, try_cast(json_extract_string(payload, '$.step') as integer) as step from journey_events where json_valid(payload) and json_type(payload) = 'OBJECT'")
 def p17(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "journey_events").filter(F.col("payload").like('%"step": %') & F.col("payload").like('%"app": %'))
-    v = F.try_parse_json("payload")
-    return e.select("event_id", F.try_variant_get(v, "$.app", "string").alias("app"), F.try_variant_get(v, "$.step", "int").alias("step"))
+    return relational.payload_fields(load(spark, d, "journey_events").select("event_id", "payload"), "payload", {"app": "string", "step": "int"})
 
 
 @query("o1_kruskal_wallis", f"""with {LOG}, c as (select value, count(*) as n from log group by 1), r as (select value, n, sum(n) over (order by value) - n + (n + 1) / 2 as rank from c),

@@ -30,7 +30,7 @@ def read_xes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV file with a header and a given schema; broken values are null."""
-    return spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE")
+    return spark.read.schema(schema).options(escape='"', multiLine=True).csv(path, header=True, mode="PERMISSIVE")
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

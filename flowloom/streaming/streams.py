@@ -115,25 +115,41 @@ def match_in_progress(stream: DataFrame, t: dict, timeout_ms: int | None = None)
     return stream.groupBy("case_id").applyInPandasWithState(step, "case_id string, node int, passing string, n_events int", "node int, n int", "update", timeout)
 
 
-def first_to_last_monitor(stream: DataFrame, a: str, b: str, limit_us: int) -> DataFrame:
-    """(case_id, status, elapsed_us) of the control that b follows the first a within a limit, in update mode."""
+def first_to_last_monitor(stream: DataFrame, a: str, b: str, limit_us: int, expiring: bool = False) -> DataFrame:
+    """(case_id, status, elapsed_us, n_events) of the control that b follows the first a within a limit, in
+    update mode; n_events says which of a case's rows is the newest.
+
+    With ``expiring`` the stream needs a watermark: a case that stays silent is reported as violated when the watermark
+    passes its limit, or as idle if it had no a, and its state goes. Events that come after that begin anew.
+    """
+
+    def say(key: tuple, status: str, elapsed: int | None, n: int) -> pd.DataFrame:
+        return pd.DataFrame({"case_id": [key[0]], "status": [status], "elapsed_us": pd.array([elapsed], dtype="Int64"), "n_events": [n]})
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, seen = state.get if state.exists else (None, None, None)
-        rows = pd.concat(list(batches))
-        for kind in (a, b):
-            at = rows.loc[rows["activity"] == kind, "us"]
-            if len(at) and kind == a:
-                first = int(at.min()) if first is None else min(first, int(at.min()))
-            elif len(at):
-                last = int(at.max()) if last is None else max(last, int(at.max()))
-        seen = max(int(rows["us"].max()), seen or 0)
-        state.update((first, last, seen))
+        first, last, seen, n = state.get if state.exists else (None, None, None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            done = last is not None and first is not None and last >= first
+            yield say(key, "idle" if first is None else "satisfied" if done and last - first <= limit_us else "violated", None if first is None else (last - first if done else limit_us), n + 1)
+            return
+        for rows in batches:  # batch by batch: a case's events are never held together
+            for kind in (a, b):
+                at = rows.loc[rows["activity"] == kind, "us"]
+                if len(at) and kind == a:
+                    first = int(at.min()) if first is None else min(first, int(at.min()))
+                elif len(at):
+                    last = int(at.max()) if last is None else max(last, int(at.max()))
+            seen, n = max(int(rows["us"].max()), seen or 0), n + len(rows)
+        state.update((first, last, seen, n))
+        if expiring:
+            state.setTimeoutTimestamp(max(((first or seen) + limit_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         elapsed = None if first is None else (last if last is not None and last >= first else seen) - first
         status = "idle" if first is None else "violated" if elapsed > limit_us else "satisfied" if last is not None and last >= first else "ticking"
-        yield pd.DataFrame({"case_id": [key[0]], "status": [status], "elapsed_us": pd.array([elapsed], dtype="Int64")})
+        yield say(key, status, elapsed, n)
 
-    return stream.groupBy("case_id").applyInPandasWithState(step, "case_id string, status string, elapsed_us bigint", "first bigint, last bigint, seen bigint", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if expiring else GroupStateTimeout.NoTimeout
+    return stream.groupBy("case_id").applyInPandasWithState(step, "case_id string, status string, elapsed_us bigint, n_events bigint", "first bigint, last bigint, seen bigint, n bigint", "update", timeout)
 
 
 def committed_journeys(spark: SparkSession, folder: str) -> graph.Journeys:
