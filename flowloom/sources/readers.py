@@ -28,9 +28,9 @@ def read_xes(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("case_id", "event_no", F.col("attrs").getItem("concept:name").alias("activity"), F.unix_micros(F.try_to_timestamp(F.col("attrs").getItem("time:timestamp"))).alias("us"), F.col("attrs").getItem("lifecycle:transition").alias("lifecycle"), "attrs")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV file with a header and a given schema; broken values are null."""
-    return spark.read.schema(schema).options(escape='"', multiLine=True).csv(path, header=True, mode="PERMISSIVE")
+def read_csv(spark: SparkSession, path: str, schema: str, null: str = "\\N") -> DataFrame:
+    """A CSV file with a header and a given schema; broken values are null, and so is the text ``null``."""
+    return spark.read.schema(schema).options(escape='"', multiLine=True, nullValue=null).csv(path, header=True, mode="PERMISSIVE")
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

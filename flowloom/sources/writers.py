@@ -22,8 +22,8 @@ def write_xes(log: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """K2: blanks, quotation marks, line ends and the difference of null and empty texts are kept."""
-    df.write.mode("overwrite").options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"', emptyValue='""', nullValue="").csv(path, header=True)
+    """K2: blanks, quotation marks and line ends are kept; null is written \\N, so that it differs from an empty text."""
+    df.write.mode("overwrite").options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"', nullValue="\\N").csv(path, header=True)
 
 
 def write_json(df: DataFrame, path: str) -> None:
