@@ -113,6 +113,7 @@ def _merge_pieces(level: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Batches come sorted by (k, bucket); a group that goes on in the next batch waits for it, merged so far."""
         held: pd.DataFrame | None = None
+        most = 2 * PASS_ROWS
         for pdf in batches:
             if held is not None:
                 pdf = pd.concat([held, pdf], ignore_index=True)
@@ -124,8 +125,11 @@ def _merge_pieces(level: int):
             if len(whole):
                 yield merge(whole)
             held = pdf[tail]
-            if len(held) > 2 * PASS_ROWS:
+            if len(whole):
+                most = 2 * PASS_ROWS
+            if len(held) > most:  # merged again only when it has doubled: disjoint pieces do not shrink
                 held = merge(held)[["k", "bucket", "lo", "hi"]]
+                most = max(2 * PASS_ROWS, 2 * len(held))
         if held is not None and len(held):
             yield merge(held)
 

@@ -9,7 +9,6 @@ flattening is one expression and one explode over the input.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
-from flowloom.session import ensure_checkpoint_dir
+from flowloom.session import table_path
 
 KINDS = ("leaf", "empty", "gappy", "branch")
 _COMMON = ("node_path", "parent_id", "node_id", "depth")
@@ -102,7 +101,7 @@ def flatten(df: DataFrame, row: str, key: str, children: str) -> Flattened:
     spark, kind = df.sparkSession, df.schema[children].dataType
     own = _own_fields(kind, children)
     nodes = df.select(F.col(row), F.explode(_below(F.col(children), kind, children, key, F.col(key).cast("string"), F.lit(""), 2, own)).alias("n")).select(row, "n.*")
-    at = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    at = table_path(spark)
     routed = nodes.withColumn("kind", F.substring_index("state", "[", 1))
     routed.write.partitionBy("kind").parquet(at)
     written = spark.read.schema(routed.schema).parquet(at)

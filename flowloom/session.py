@@ -42,13 +42,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: The tables that this process has written for itself.
+_WRITTEN: list[str] = []
+
+
+def table_path(spark: SparkSession) -> str:
+    """A fresh path in the shared checkpoint folder, which clean() will delete."""
+    _WRITTEN.append(f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the tables written by queries so far and return their number; for when their results have been used."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared checkpoint folder and read it back.
 
-    The table outlives any executor, starts from a fresh plan, and its true size lets small tables be broadcast.
+    The table outlives any executor, starts from a fresh plan, and its true size lets small tables be broadcast. It
+    stays until clean() is called.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    path = table_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
