@@ -105,17 +105,20 @@ class Lists:
         self.none = n + 1
         own = np.repeat(np.arange(len(sizes)), self.stop - self.first + 1)
         own = np.r_[own, own[-1:]]
+        first, stop = self.first[own], self.stop[own]
         at = np.arange(n + 1) if n else np.arange(0)
         #: next[p, c]: first place >= p of code c in the list; last[p, c]: last place < p, or -1
         self.next = np.full((len(at), n_codes), self.none, dtype=np.int32)
         self.last = np.full((len(at), n_codes), -1, dtype=np.int32)
         for c in range(n_codes if n else 0):
-            there = np.unique(place[codes == c])
-            i = np.searchsorted(there, at)
+            mark = np.zeros(len(at), dtype=np.int32)
+            mark[place[codes == c]] = 1
+            there = np.flatnonzero(mark)
+            i = np.cumsum(mark, dtype=np.int32) - mark  # how many lie before a place
             after = np.r_[there, self.none][i]
-            self.next[:, c] = np.where(after < self.stop[own], after, self.none)
+            self.next[:, c] = np.where(after < stop, after, self.none)
             before = np.r_[-1, there][i]
-            self.last[:, c] = np.where(before >= self.first[own], before, -1)
+            self.last[:, c] = np.where(before >= first, before, -1)
 
     def projected(self, patterns: list[tuple[int, ...]]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
         """(number, lists, places of the items in each) of every pattern that some list has. The patterns are sorted,
