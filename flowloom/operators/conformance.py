@@ -557,6 +557,59 @@ def net_from_tree(text: str) -> Net:
     return Net(tuple(transitions))
 
 
+def tree_text(node) -> str:
+    """The string of a tree as parsed_tree gives it."""
+    return node if isinstance(node, str) else f"{node[0]}({', '.join(map(tree_text, node[1]))})"
+
+
+def tree_rows(text: str, frozen: Iterable[str] = ()) -> list[dict]:
+    """A tree as rows (node, parent, place, label, frozen), in pre-order; ``frozen`` are strings of subtrees. A node
+    is frozen if it or one above it is."""
+    kept, out = set(frozen), []
+
+    def walk(node, parent: int | None, place: int, held: bool) -> None:
+        number, held = len(out), held or tree_text(node) in kept
+        out.append({"node": number, "parent": parent, "place": place, "label": node if isinstance(node, str) else node[0], "frozen": held})
+        for i, child in enumerate([] if isinstance(node, str) else node[1]):
+            walk(child, number, i, held)
+
+    walk(parsed_tree(text), None, 0, False)
+    return out
+
+
+def tree_from_rows(rows: Iterable[dict]) -> tuple[str, list[str]]:
+    """The tree of such rows and the largest frozen subtrees."""
+    rows = sorted(rows, key=lambda r: (r["parent"] is not None, r["parent"], r["place"]))
+    below: dict[int | None, list[dict]] = {}
+    for r in rows:
+        below.setdefault(r["parent"], []).append(r)
+    frozen: list[str] = []
+
+    def build(r: dict, held: bool):
+        children = [build(c, held or r["frozen"]) for c in below.get(r["node"], [])]
+        node = (r["label"], children) if children else r["label"]
+        if r["frozen"] and not held:
+            frozen.append(tree_text(node))
+        return node
+
+    return tree_text(build(below[None][0], False)), frozen
+
+
+def extended_tree(text: str, variants: Iterable[Sequence[str]]) -> str:
+    """The tree that also allows the given variants: those that do not fit become choices of their own beside it.
+
+    The tree itself stays as it is, frozen parts and all; empty variants make it optional.
+    """
+    net, extra = net_from_tree(text), []
+    for v in variants:
+        if align(net, v) != 0 and tuple(v) not in extra:
+            extra.append(tuple(v))
+    if not extra:
+        return text
+    sequences = ["tau" if not v else v[0] if len(v) == 1 else ("->", list(v)) for v in extra]
+    return tree_text(("X", [parsed_tree(text), *sequences]))
+
+
 def cover_models(variants: Sequence[tuple[str, ...]]) -> list[list[int]]:
     """Greedily assign variants to sequence models: each goes to the first model that replays it perfectly, else
     it founds a new one. Returns the variants' numbers by model.

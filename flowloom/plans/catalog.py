@@ -345,6 +345,24 @@ def v13(spark: SparkSession, d: str) -> DataFrame:
     return fits.groupBy("fits").agg(F.count_distinct("variant").alias("n_variants"), F.count(F.lit(1)).alias("n_cases"))
 
 
+@query("v13_grown_tree", f"with {LOG}, {CASES}, v as (select variant, count(*) as n from cases group by 1 order by n desc, variant limit 12) select variant, n, true as fits from v")
+def v13b(spark: SparkSession, d: str) -> DataFrame:
+    """The twelve most frequent variants under a tree that was extended by those that did not fit."""
+    top = variants.top(variants.variants(log_day(spark, d)).select("variant", F.col("frequency")), 12).collect()
+    tree = conformance.extended_tree("->(view, click, purchase)", [r.variant.split("->") for r in top])
+    scored = conformance.variant_conformance(spark.createDataFrame([(r.variant, r.frequency) for r in top], "variant string, n bigint"), conformance.net_from_tree(tree))
+    counts = spark.createDataFrame([(r.variant, r.frequency) for r in top], "variant string, n bigint")
+    return counts.join(scored, "variant").select("variant", "n", (F.col("cost") == 0).alias("fits"))
+
+
+@query("v14_tree_rows", "select * from (values (0, null, '->', false), (1, 0, 'a', false), (2, 0, 'X', true), (3, 2, 'b', true), (4, 2, 'c', true)) t(node, parent, label, frozen)")
+def v14(spark: SparkSession, d: str) -> DataFrame:
+    rows = conformance.tree_rows("->(a, X(b, c))", ["X(b, c)"])
+    if conformance.tree_from_rows(rows) != ("->(a, X(b, c))", ["X(b, c)"]):
+        raise RuntimeError("the tree does not come back")
+    return spark.createDataFrame([(r["node"], r["parent"], r["label"], r["frozen"]) for r in rows], "node int, parent int, label string, frozen boolean")
+
+
 @query("d15_repaired_net", f"with {LOG} select distinct activity as transition from log")
 def d15(spark: SparkSession, d: str) -> DataFrame:
     """The model with a transition for each activity of the log; a net that isn't sound is an error."""

@@ -57,6 +57,16 @@ def test_trees_become_nets():
     assert conformance.parsed_tree("X(a b, tau)") == ("X", ["a b", "tau"])
 
 
+def test_tree_rows_and_growth():
+    text, frozen = "->(a, X(b, +(c, d)), *(e, tau))", ["X(b, +(c, d))"]
+    rows_ = conformance.tree_rows(text, frozen)
+    assert conformance.tree_from_rows(reversed(rows_)) == (text, frozen)
+    assert [r["label"] for r in rows_ if r["frozen"]] == ["X", "b", "+", "c", "d"]
+    grown = conformance.extended_tree("->(a, b)", [["a", "b"], ["b"], ["b", "a"], ["b"], []])
+    assert grown == "X(->(a, b), b, ->(b, a), tau)"
+    assert all(conformance.align(conformance.net_from_tree(grown), v) == 0 for v in (["a", "b"], ["b"], ["b", "a"], []))
+
+
 def test_roll_up_weights(spark):
     rows_ = [("r", None, None, None), ("a", "r", 1.0, 3), ("b", "r", 0.0, 1), ("c", "r", None, 9)]
     tree = spark.createDataFrame(rows_, "node string, parent string, value double, n int")
