@@ -170,7 +170,7 @@ def d9(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted(conformance.without_cycles((r.src, r.dst) for r in rows)), "src string, dst string")
 
 
-@query("v11_model_cover")
+@query("v11_model_cover", f"with {LOG}, {CASES} select cast(row_number() over (order by count(*) desc, variant) - 1 as integer) as model, variant from cases group by variant")
 def v11(spark: SparkSession, d: str) -> DataFrame:
     return conformance.model_cover(variants.variants(log_day(spark, d)).select("variant", "frequency"))
 

@@ -154,6 +154,34 @@ select record_id, producer, file_name, line_no, {', '.join(columns)},
   array_to_string(list_sort(list_filter(json_keys(b), lambda k: not list_contains([{', '.join(held)}], k))), ',') as extras from o"""
 
 
+#: The same for the fields that no table has.
+_OTHERS = (("region_code", "area"), ("channel", "inbound_via"), ("note", "remark"), ("tag_list", "labels"), ("is_manual", "by_hand"), ("latency_ms", "tookMillis"))
+
+
+def _changes_sql() -> str:
+    """Changes between neighbouring files, renames by the names that stand for one field."""
+    known = [(f, t, n) for f, ts in _NAMES.items() for t, ns in ts.items() for n in ns] + [(f, ns[0], n) for f in _NAMES for ns in _OTHERS for n in ns]
+    values = ", ".join(f"('{f}', '{g}', '{n}')" for f, g, n in known)
+    return f"""with g(feed, grp, name) as (values {values}),
+r as (select feed, producer, file_no, file_name, case when json_valid(body) then body::json end as b from feed_records where feed is not null and producer is not null and file_no is not null),
+f as (select feed, producer, file_no, min(file_name) as file_name from r group by 1, 2, 3),
+p as (select *, lag(file_no) over (partition by feed, producer order by file_no) as before from f),
+k as (select feed, producer, file_no, b, unnest(json_keys(b)) as name from r where json_type(b) = 'OBJECT'),
+t as (select feed, producer, file_no, name, case json_type(b, '$."' || name || '"') when 'NULL' then null when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end as kind from k),
+h as (select feed, producer, file_no, name, list_sort(list(distinct kind) filter (kind is not null)) as kinds from t group by 1, 2, 3, 4),
+gone as (select p.feed, p.producer, p.file_no, p.file_name, h.name, h.kinds, coalesce(g.grp, h.name) as grp from p join h on h.feed = p.feed and h.producer = p.producer and h.file_no = p.before left join g on g.feed = h.feed and g.name = h.name
+  where not exists (select 1 from h x where x.feed = p.feed and x.producer = p.producer and x.file_no = p.file_no and x.name = h.name)),
+fresh as (select p.feed, p.producer, p.file_no, p.file_name, h.name, h.kinds, coalesce(g.grp, h.name) as grp from p join h on h.feed = p.feed and h.producer = p.producer and h.file_no = p.file_no left join g on g.feed = h.feed and g.name = h.name
+  where p.before is not null and not exists (select 1 from h x where x.feed = p.feed and x.producer = p.producer and x.file_no = p.before and x.name = h.name)),
+moved as (select a.feed, a.producer, a.file_no, a.file_name, a.name as o, b.name as n, a.kinds as ok, b.kinds as nk from gone a join fresh b using (feed, producer, file_no, grp)),
+same as (select p.feed, p.file_name, a.name as o, a.kinds as ok, b.kinds as nk from p join h a on a.feed = p.feed and a.producer = p.producer and a.file_no = p.before join h b on b.feed = p.feed and b.producer = p.producer and b.file_no = p.file_no and b.name = a.name)
+select feed, file_name, 'renamed' as change_kind, o as old_field, n as new_field from moved
+union all select feed, file_name, 'removed', name, '' from gone where (feed, producer, file_no, name) not in (select (feed, producer, file_no, o) from moved)
+union all select feed, file_name, 'added', '', name from fresh where (feed, producer, file_no, name) not in (select (feed, producer, file_no, n) from moved)
+union all select feed, file_name, 'type', o, n from moved where len(ok) > 0 and len(nk) > 0 and ok <> nk
+union all select feed, file_name, 'type', o, o from same where len(ok) > 0 and len(nk) > 0 and ok <> nk"""
+
+
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_sample_logs": _unified("sample_logs"), "p3_sample_agent_logs": _unified("sample_agent_logs"), "p5_found": p5_found, "p7_found": p7_found, "p7_branches": _subtype("branch"), "p7_leaves": _subtype("leaf"), "p7_empty": _subtype("empty"), "p7_gappy": _subtype("gappy"), "p7_states": p7_states}
 _ALL_LOGS = " union all ".join(f"select ('{t}', row_id) as rk, \"timestamp\", site from {t}" for t in LOGS)
 #: Usable rows of the event log: case, activity and instant.
@@ -172,6 +200,7 @@ i as (select *, sum(case when before >= s then 0 else 1 end) over (partition by
 p as (select c, island, min(s) as s, max(e) as e from i group by 1, 2),
 n as (select *, lead(s) over (partition by c order by s) as nx from p)
 select c as case_id, 'period' as kind, s as start_us, e as end_us from n union all select c, 'gap', e, nx from n where nx is not null""",
+    "p3_found": _changes_sql(),
     "p3_sample_logs": _unified_sql("sample_logs"),
     "p3_sample_agent_logs": _unified_sql("sample_agent_logs"),
     "p7_branches": f"with {_NODES} {_SECOND}, cast(len(n.sub_activities) as integer) as n_children from seen where kind = 'branch'",
