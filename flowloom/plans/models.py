@@ -68,9 +68,9 @@ def c3(spark: SparkSession, d: str) -> DataFrame:
     return conformance.partial_alignments(_cases(spark, d), MODEL)
 
 
-@query("c5_generalization", f"with {LOG}, n as (select activity, count(*) as n from log where activity in ('view', 'click', 'purchase') group by 1) select 1 - (sum(1 / sqrt(n)) + 3 - count(*)) / 3 as generalization from n")
+@query("c5_generalization", f"with {LOG}, n as (select activity, count(*) as n from log where activity in ('view', 'click', 'purchase') group by 1) select round(1 - (sum(1 / sqrt(n)) + 3 - count(*)) / 3, 9) as generalization from n")
 def c5g(spark: SparkSession, d: str) -> DataFrame:
-    return conformance.generalization(log_day(spark, d), MODEL)
+    return conformance.generalization(log_day(spark, d), MODEL).select(F.round("generalization", 9).alias("generalization"))
 
 
 @query("c10_most_and_least_common", f"{_VARIANT}, b as (select *, row_number() over (order by cases desc, variant) as first, row_number() over (order by cases, variant) as last from v) select case when first = 1 then 'most' else 'least' end as which, variant, 1 - {_cost('variant', 'n', _STEPS)} / (n + 3) as fitness from b where first = 1 or last = 1")
@@ -135,16 +135,16 @@ def c7(spark: SparkSession, d: str) -> DataFrame:
     return conformance.log_conformance(_cases(spark, d), MODEL).groupBy((~F.col("anomaly")).alias("conforms")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a19_average_fitness", f"{_VARIANT} select sum(cases * (1 - {_cost('variant', 'n', _STEPS)} / (n + 3))) / sum(cases) as avg_fitness, cast(sum(cases) filter (variant <> 'view->click->purchase') as bigint) as n_anomalies from v")
+@query("a19_average_fitness", f"{_VARIANT} select round(sum(cases * (1 - {_cost('variant', 'n', _STEPS)} / (n + 3))) / sum(cases), 9) as avg_fitness, cast(sum(cases) filter (variant <> 'view->click->purchase') as bigint) as n_anomalies from v")
 def a19(spark: SparkSession, d: str) -> DataFrame:
-    return conformance.average_fitness(conformance.log_conformance(_cases(spark, d), MODEL))
+    return conformance.average_fitness(conformance.log_conformance(_cases(spark, d), MODEL)).withColumn("avg_fitness", F.round("avg_fitness", 9))
 
 
 @query("c5_precision", f"""with {LOG}, {CASES}, p as (select unnest([0, 1, 2]) as k), m as (select ['view', 'click', 'purchase'] as m),
 x as (select k, count(*) as n, count(*) filter (string_split(variant, '->')[k + 1] = m[k + 1]) as follow from p, m, cases where string_split(variant, '->')[1:k] = m[1:k] and variant is not null group by 1)
-select 1 - sum(case when follow = 0 then n else 0 end) / sum(n) as precision from x""")
+select round(1 - sum(case when follow = 0 then n else 0 end) / sum(n), 9) as precision from x""")
 def c5(spark: SparkSession, d: str) -> DataFrame:
-    return conformance.escaping_precision(_cases(spark, d), MODEL)
+    return conformance.escaping_precision(_cases(spark, d), MODEL).select(F.round("precision", 9).alias("precision"))
 
 
 @query("d2_alpha_pairs")
