@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.session import cut
@@ -19,8 +19,6 @@ from flowloom.session import cut
 VALUE_HASHES, SHAPE_HASHES = 32, 8
 #: Similarity from which a vanished and an appeared field hold the same data.
 SAME_DATA = 0.3
-#: Lineages from which a target's typical data are taken.
-LOOKS = 200
 FILE = ["feed", "producer", "file_no"]
 
 
@@ -91,7 +89,7 @@ def profiles(records: DataFrame) -> DataFrame:
         F.count("token").alias("n"),
         F.approx_count_distinct("token").alias("distinct"),
         F.count("number").alias("numbers"),
-        F.percentile_approx("number", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.lit(1000)).alias("quantiles"),
+        F.percentile_approx("number", F.array(F.lit(0.1), F.lit(0.9)), F.lit(1000)).alias("quantiles"),
         F.min(F.when(F.col("number").isNotNull(), zeros)).alias("zeros"),
         _sketch("value_hash", VALUE_HASHES, 1).alias("values"),
         _sketch("shape_hash", SHAPE_HASHES, 2).alias("shapes"),
@@ -118,7 +116,7 @@ def data_similarity(a: dict, b: dict) -> float:
     numeric = [x["numbers"] / x["n"] > 0.9 for x in (a, b)]
     alike = 0.0
     if all(numeric) and unique:
-        (l1, m1, h1), (l2, m2, h2) = a["quantiles"], b["quantiles"]
+        (l1, h1), (l2, h2) = a["quantiles"], b["quantiles"]
         inside = min(h1, h2) - max(l1, l2)
         if a["zeros"] == b["zeros"] and a["zeros"] >= 1 and inside > 0:
             alike = 0.5 + 0.4 * inside / max(h1, h2, 1e-9)
@@ -137,7 +135,7 @@ def look_similarity(a: dict, b: dict) -> float:
         return 0.0
     numeric = [x["numbers"] / x["n"] > 0.9 for x in (a, b)]
     if all(numeric) and a["zeros"] == b["zeros"]:
-        (l1, _, h1), (l2, _, h2) = a["quantiles"], b["quantiles"]
+        (l1, h1), (l2, h2) = a["quantiles"], b["quantiles"]
         return max(0.0, min(h1, h2) - max(l1, l2)) / max(1e-9, max(h1, h2) - min(l1, l2))
     both = [(p, q) for p, q in zip(a["shapes"], b["shapes"]) if p is not None and q is not None]
     return float(np.mean([p == q for p, q in both])) if both and not any(numeric) else 0.0
@@ -191,7 +189,7 @@ def _merged_profile(profiles: list[dict]) -> dict:
         "n": n,
         "distinct": distinct,
         "numbers": int(sum(p["numbers"] for p in held)),
-        "quantiles": [float(min(q[0] for q in quantiles)), float(np.median([q[1] for q in quantiles])), float(max(q[2] for q in quantiles))] if quantiles else None,
+        "quantiles": [float(min(q[0] for q in quantiles)), float(max(q[1] for q in quantiles))] if quantiles else None,
         "zeros": int(min(zeros)) if zeros else None,
         "values": values,
         "shapes": least("shapes"),
@@ -200,6 +198,28 @@ def _merged_profile(profiles: list[dict]) -> dict:
 
 _PROFILE = "n bigint, distinct bigint, numbers bigint, quantiles array<double>, zeros int, values array<bigint>, shapes array<bigint>"
 _PROFILE_FIELDS = [f.split()[0] for f in _PROFILE.split(", ")]
+
+
+def _merged_profiles(profiles: DataFrame, *groups: str) -> DataFrame:
+    """As _merged_profile, for each group over all its rows: minima, maxima and sums, so that no task holds a group."""
+    least = lambda k, n: F.array(*[F.min(F.col(k)[i]) for i in range(n)]).alias(k)
+    merged = profiles.filter("n > 0").groupBy(*groups).agg(
+        F.sum("n").alias("n"),
+        F.max("distinct").alias("distinct"),
+        F.sum("numbers").alias("numbers"),
+        F.array(F.min(F.col("quantiles")[0]), F.max(F.col("quantiles")[1])).alias("quantiles"),
+        F.min("zeros").alias("zeros"),
+        least("values", VALUE_HASHES),
+        least("shapes", SHAPE_HASHES),
+    )
+    known = F.array_compact("values")
+    spread = F.aggregate(known, F.lit(0.0), lambda total, v: total + (v.cast("double") + 2.0**63) / 2.0**64)
+    # one lineage's count is a lower bound; the sketch says how much larger the union is
+    union = F.least(F.col("n").cast("double"), F.size(known) / F.greatest(spread, F.lit(1e-300))).cast("bigint")
+    merged = merged.withColumn("distinct", F.greatest("distinct", union))
+    return merged.withColumn("quantiles", F.when(F.col("quantiles")[0].isNotNull(), F.col("quantiles")))
+
+
 _CHANGE_FIELDS = ["feed", "producer", "what", "file_no", "file_name", "kind", "old_field", "new_field"]
 
 
@@ -293,14 +313,8 @@ def assignments(records: DataFrame, targets: dict[str, dict[str, str]] = TARGETS
     asked = known.join(voted, ["feed", "field"], "left").groupBy("feed", "producer", "lineage").agg(F.max("direct").alias("direct"), F.max("voted").alias("voted"))
     looks = every.filter("what = 'profile'").select("feed", "producer", F.col("kind").alias("lineage"), "files", *_PROFILE_FIELDS).join(asked, ["feed", "producer", "lineage"])
 
-    def like_target(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = _merged_profile(pdf.head(LOOKS).to_dict("records"))
-        return pd.DataFrame([(pdf["feed"].iloc[0], pdf["direct"].iloc[0], *[one[k] for k in _PROFILE_FIELDS])], columns=["feed", "target", *_PROFILE_FIELDS]).astype({k: "Int64" for k in ("n", "distinct", "numbers", "zeros")})
-
-    # a target's looks are taken from a bounded number of lineages that bear its name: one row for each target
-    rank = F.row_number().over(Window.partitionBy("feed", "direct").orderBy(F.xxhash64("producer", "lineage"), "producer", "lineage"))
-    some = looks.filter("direct is not null").withColumn("rank", rank).filter(F.col("rank") <= LOOKS).drop("rank")
-    typical = some.groupBy("feed", "direct").applyInPandas(like_target, "feed string, target string, " + _PROFILE)
+    # one row for each target, of all lineages that bear its name
+    typical = _merged_profiles(looks.filter("direct is not null"), "feed", "direct").withColumnRenamed("direct", "target")
     typical = names.join(typical, ["feed", "target"], "left").groupBy("feed").agg(F.collect_list(F.struct("target", *_PROFILE_FIELDS)).alias("typical"))
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:

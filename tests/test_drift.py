@@ -46,6 +46,32 @@ def test_unified_table(spark):
     assert out[0].extras == {"who": '{"name":"ann"}', "tags": '["x","y"]', "z": None}
 
 
+def test_a_target_looks_like_all_lineages_that_bear_its_name(spark):
+    """260 producers bear the name; the words of a field without a name occur in the last sixty by hash only."""
+    named = spark.range(260).select(F.format_string("n%03d", "id").alias("producer")).orderBy(F.xxhash64("producer", F.lit("status@1")))
+    words = [(r.producer, "status", ["aa", "bb", "cc"] if i < 200 else ["open", "shut", "hold"]) for i, r in enumerate(named.collect())]
+    data = [("f", p, 1, p, json.dumps({field: w})) for p, field, ws in [*words, ("z", "zz", ["open", "shut", "hold"])] for w in ws]
+    df = spark.createDataFrame(data, "feed string, producer string, file_no int, file_name string, body string")
+    got = {r.producer: (r.field, r.target) for r in drift.assignments(df, {"f": {"status": "string"}}).collect()}
+    assert got == {p: (field, "status") for p, field, _ in words} | {"z": ("zz", "status")}
+
+
+def test_profiles_are_merged_alike_in_one_task_and_in_many(spark):
+    rng = np.random.default_rng(5)
+    data = []
+    for i in range(700):
+        n = int(rng.integers(0, 40))
+        numbers = n if i % 7 else 0
+        values = [int(v) for v in rng.integers(-(2**63), 2**63 - 1, drift.VALUE_HASHES)] if n else [None] * drift.VALUE_HASHES
+        shapes = [int(v) if v % 3 else None for v in rng.integers(-(2**63), 2**63 - 1, drift.SHAPE_HASHES)]
+        data.append((i % 2, n, n // 2, numbers, [float(v) for v in sorted(rng.integers(0, 9000, 2))] if numbers else None, int(rng.integers(0, 4)) if numbers else None, values, shapes))
+    got = drift._merged_profiles(spark.createDataFrame(data, "g int, " + drift._PROFILE), "g").collect()
+    assert len(got) == 2
+    for r in got:
+        want = drift._merged_profile([dict(zip(drift._PROFILE_FIELDS, d[1:])) for d in data if d[0] == r.g])
+        assert {k: r[k] for k in drift._PROFILE_FIELDS} == want
+
+
 def leaves(value, path=()):
     if isinstance(value, (dict, list)):
         for k, v in value.items() if isinstance(value, dict) else enumerate(value):
