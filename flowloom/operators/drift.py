@@ -141,6 +141,11 @@ def look_similarity(a: dict, b: dict) -> float:
     return float(np.mean([p == q for p, q in both])) if both and not any(numeric) else 0.0
 
 
+def less_round(a: dict, b: dict) -> bool:
+    """Whether a holds numbers that are less round than any of b."""
+    return all(x["n"] and x["numbers"] / x["n"] > 0.9 for x in (a, b)) and a["zeros"] < b["zeros"]
+
+
 def best_matching(weight: np.ndarray) -> list[tuple[int, int]]:
     """Maximum-weight bipartite matching by shortest augmenting paths; pairs of weight 0 stay unmatched."""
     n = max(weight.shape)
@@ -339,7 +344,8 @@ def assignments(records: DataFrame, targets: dict[str, dict[str, str]] = TARGETS
         for similarity in (data_similarity, look_similarity):
             while left:  # a target may take several lineages, one after another, in files that lie apart
                 known = {t: p for t, p in typical.items() if p["n"] is not None and p["n"]}
-                weigh = lambda a, b: similarity(a, b) if fits(a, b["target"]) else 0.0  # noqa: E731, B023
+                # where a target has many more values than a lineage, one that both have looks like an overlap
+                weigh = lambda a, b: similarity(a, b) if fits(a, b["target"]) and not less_round(a, b) else 0.0  # noqa: E731, B023
                 pairs = _matched(left, known, weigh) if known else []
                 if not pairs:
                     break

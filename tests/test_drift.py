@@ -56,6 +56,15 @@ def test_a_target_looks_like_all_lineages_that_bear_its_name(spark):
     assert got == {p: (field, "status") for p, field, _ in words} | {"z": ("zz", "status")}
 
 
+def test_one_shared_number_is_no_overlap_with_a_round_target(spark):
+    """Waiting times of which one is an amount too, in a producer without amounts; an amount by another name is found."""
+    took = [87, 800, 1470, 2397, 2444, 2632, 1592]
+    data = [("f", f"n{n % 9}", n % 9, {"amount": n}) for n in range(100, 30100, 100)] + [("f", "y", 1, {"took": n}) for n in took] + [("f", "z", 1, {"sum": n}) for n in range(900, 29000, 400)]
+    df = spark.createDataFrame([(f, p, no, p, json.dumps(b)) for f, p, no, b in data], "feed string, producer string, file_no int, file_name string, body string")
+    got = {(r.producer, r.field) for r in drift.assignments(df, {"f": {"amount": "double"}}).collect()}
+    assert got == {(f"n{i}", "amount") for i in range(9)} | {("z", "sum")}
+
+
 def test_profiles_are_merged_alike_in_one_task_and_in_many(spark):
     rng = np.random.default_rng(5)
     data = []
